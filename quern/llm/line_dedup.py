@@ -23,12 +23,11 @@ _ENDS = " \t\r"
 
 def _windows(lines: Column, size: int) -> Column:
     """(position, two hashes) of every window that holds a line with content."""
-    parts = lambda i: [lines[i + k] for k in range(size)]
-    made = F.transform(
-        F.sequence(F.lit(0), F.size(lines) - size),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(1), *parts(i)).alias("h1"), F.xxhash64(F.lit(2), *parts(i)).alias("h2"), (F.concat(*parts(i)) != "").alias("some")),
-    )
-    return F.when(F.size(lines) >= size, F.filter(made, lambda w: w["some"]))
+    parts = lambda a, i: [a[i + k] for k in range(size)]
+    one = lambda a, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(1), *parts(a, i)).alias("h1"), F.xxhash64(F.lit(2), *parts(a, i)).alias("h2"), (F.concat(*parts(a, i)) != "").alias("some"))
+    # the outer transform binds the lines, or each window would split the text anew
+    made = F.transform(F.array(lines), lambda a: F.when(F.size(a) >= size, F.filter(F.transform(F.sequence(F.lit(0), F.size(a) - size), lambda i: one(a, i)), lambda w: w["some"])))
+    return made[0]
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
