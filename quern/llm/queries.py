@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard_join, line_dedup, packing, pii, quality_rules, warc
+from quern.llm import bpe, jaccard_join, line_dedup, packing, pii, quality_rules, warc
 from quern.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
