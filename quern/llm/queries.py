@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, jaccard_join, line_dedup, packing, pii, quality_rules, warc
+from quern.llm import bpe, jaccard_join, line_dedup, packing, pii, quality_pu, quality_rules, toxicity, warc
 from quern.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -44,6 +48,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.fertility(docs, vocabulary("piece_bpe_32k.model")).drop("text", "lang")
@@ -54,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_pu": op6_quality_pu,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
