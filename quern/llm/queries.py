@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, jaccard_join, line_dedup, packing, pii, quality_pu, quality_rules, toxicity, warc
+from quern.llm import bpe, jaccard_join, line_dedup, media, packing, pii, quality_pu, quality_rules, toxicity, warc
 from quern.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_pu": op6_quality_pu,
     "op7_line_dedup": op7_line_dedup,
