@@ -1,21 +1,363 @@
-"""Queries over the relational tables, each with its SQL."""
+"""Queries over the relational tables, one for each operator or group of alike ones, with their SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import collections as C
+from quern.functions import hashing as H
+from quern.operators import expressions as E
+from quern.operators import statements as S
+from quern.operators.tables import Parquet
+from quern.plans.schema import CUSTOMER, EVENTS, LINEITEM, NATION, ORDERS, PART, REGION, SUPPLIER
+from quern.sources import binlog
+from quern.sources.logwriter import LogWriter
+from quern.streaming import flow, keyed
 
-def orders_per_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    open_orders = read("orders").where(F.col("o_orderstatus") == "O")
-    joined = read("nation").join(read("customer"), F.col("n_nationkey") == F.col("c_nationkey")).join(open_orders, F.col("c_custkey") == F.col("o_custkey"))
-    return joined.groupBy("n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"orders_per_nation": orders_per_nation}
-ORACLE_SQL: dict[str, str] = {
-    "orders_per_nation": "SELECT n_name, round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'O' GROUP BY n_name"
-}
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _statement(name: str, statement, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: statement.frame(Parquet(spark, d))
+    ORACLE_SQL[name] = sql
+
+
+def _count(alias: str = "n") -> E.Alias:
+    return E.Func("count", 1).alias(alias)
+
+
+_orders_nations = NATION.inner_join(CUSTOMER, E.eq(NATION.n_nationkey, CUSTOMER.c_nationkey)).inner_join(ORDERS, E.eq(CUSTOMER.c_custkey, ORDERS.o_custkey))
+_statement(
+    "orders_per_nation",
+    S.select(_orders_nations, NATION.n_name, E.Func("round", E.Func("sum", ORDERS.o_totalprice), 2).alias("total")).where(E.eq(ORDERS.o_orderstatus, "O")).group_by(NATION.n_name),
+    "SELECT n_name, round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'O' GROUP BY n_name",
+)
+_statement("scan_project", S.select(NATION, NATION.n_nationkey, NATION.n_name.alias("name"), NATION.n_regionkey), "SELECT n_nationkey, n_name AS name, n_regionkey FROM nation")
+_statement("scan_all", S.select(REGION.force_index("by_name"), *REGION.columns()), "SELECT r_regionkey, r_name FROM region")
+_statement(
+    "filter_compare",
+    S.select(LINEITEM, LINEITEM.l_orderkey, LINEITEM.l_linenumber, LINEITEM.l_quantity).where(
+        E.and_(E.or_(E.lt(LINEITEM.l_quantity, 5), E.gte(LINEITEM.l_quantity, 48)), E.Not(E.gt(LINEITEM.l_discount, 0.05)), E.lte(LINEITEM.l_tax, 0.04), E.neq(LINEITEM.l_returnflag, "A"))
+    ),
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_quantity < 5 OR l_quantity >= 48) AND NOT (l_discount > 0.05) AND l_tax <= 0.04 AND l_returnflag <> 'A'",
+)
+_left_open = CUSTOMER.left_join(ORDERS, E.and_(E.eq(CUSTOMER.c_custkey, ORDERS.o_custkey), E.gt(ORDERS.o_totalprice, 400000.0)))
+_statement("filter_null", S.select(_left_open, CUSTOMER.c_custkey).where(E.eq(ORDERS.o_orderkey, None)), "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NULL")
+_statement("filter_not_null", S.select(_left_open, CUSTOMER.c_custkey, ORDERS.o_orderkey).where(E.neq(ORDERS.o_orderkey, None)), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NOT NULL")
+_statement("filter_in", S.select(ORDERS, ORDERS.o_orderkey).where(E.In(ORDERS.o_orderstatus, ["F", "P"])).and_where(E.lt(ORDERS.o_orderkey, 500)), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey < 500")
+_statement("filter_in_empty", S.select(ORDERS, ORDERS.o_orderkey).where(E.In(ORDERS.o_orderstatus, [])), "SELECT o_orderkey FROM orders WHERE false")
+_statement("filter_like", S.select(PART, PART.p_partkey, PART.p_name).where(E.or_(E.like(PART.p_name, "%ol%"), E.like(PART.p_brand, "%" + E.escape_for_like("_") + "%"))), r"SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ol%' OR p_brand LIKE '%\_%' ESCAPE '\'")
+_statement("filter_regexp", S.select(PART, PART.p_partkey).where(E.regexp(PART.p_name, "[[:<:]]c.*d[[:>:]]")), r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '\bc.*d\b')")
+_statement("filter_tuple", S.select(ORDERS, ORDERS.o_orderkey).where(E.eq(E.Tuple(ORDERS.o_orderstatus, ORDERS.o_orderpriority), E.Tuple("O", "1-URGENT"))), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'")
+_statement(
+    "arithmetic",
+    S.select(
+        LINEITEM, LINEITEM.l_orderkey, LINEITEM.l_linenumber, LINEITEM.l_partkey, E.add(LINEITEM.l_orderkey, LINEITEM.l_partkey, 1).alias("a"), E.sub(LINEITEM.l_orderkey, LINEITEM.l_partkey, 1).alias("s"),
+        E.mul(LINEITEM.l_orderkey, LINEITEM.l_linenumber).alias("m"), E.div(LINEITEM.l_quantity, E.sub(LINEITEM.l_linenumber, 1)).alias("d"), E.minus(E.plus(LINEITEM.l_orderkey, 7), LINEITEM.l_suppkey).alias("pm"),
+    ),
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey + l_partkey + 1 AS a, l_orderkey - l_partkey - 1 AS s, l_orderkey * l_linenumber AS m, l_quantity / nullif(l_linenumber - 1, 0) AS d, l_orderkey + 7 - l_suppkey AS pm FROM lineitem",
+)
+_statement(
+    "bit_operations",
+    S.select(ORDERS, ORDERS.o_orderkey, E.bit_or(ORDERS.o_orderkey, ORDERS.o_custkey).alias("o"), E.bit_and(ORDERS.o_orderkey, ORDERS.o_custkey).alias("a"), E.bit_xor(ORDERS.o_orderkey, ORDERS.o_custkey).alias("x")),
+    "SELECT o_orderkey, o_orderkey | o_custkey AS o, o_orderkey & o_custkey AS a, xor(o_orderkey, o_custkey) AS x FROM orders",
+)
+_statement("if_else", S.select(CUSTOMER, CUSTOMER.c_custkey, E.If(E.lt(CUSTOMER.c_acctbal, 0), "debt", CUSTOMER.c_mktsegment).alias("kind")), "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS kind FROM customer")
+_statement(
+    "interval_shift",
+    S.select(EVENTS, EVENTS.event_id, E.plus(EVENTS.ts, E.Interval(dt.timedelta(hours=50, minutes=3, seconds=2, microseconds=70))).alias("later"), E.minus(EVENTS.ts, E.Interval(dt.timedelta(seconds=-90))).alias("next")),
+    "SELECT event_id, ts + INTERVAL 50 HOUR + INTERVAL 3 MINUTE + INTERVAL 2 SECOND + INTERVAL 70 MICROSECOND AS later, ts + INTERVAL 90 SECOND AS next FROM events",
+)
+_statement("function_call", S.select(PART, PART.p_partkey, E.Func("upper", PART.p_name).alias("loud"), E.Func("length", PART.p_name).alias("n")), "SELECT p_partkey, upper(p_name) AS loud, CAST(length(p_name) AS INTEGER) AS n FROM part")
+_statement("join_inner", S.select(SUPPLIER.inner_join(NATION, E.eq(SUPPLIER.s_nationkey, NATION.n_nationkey)), SUPPLIER.s_suppkey, NATION.n_name), "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+_statement("join_left", S.select(NATION.left_join(SUPPLIER, E.eq(SUPPLIER.s_nationkey, NATION.n_nationkey)), NATION.n_name, SUPPLIER.s_name), "SELECT n_name, s_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
+_statement("join_right", S.select(SUPPLIER.right_join(NATION, E.eq(SUPPLIER.s_nationkey, NATION.n_nationkey)), NATION.n_name, SUPPLIER.s_name), "SELECT n_name, s_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
+_statement(
+    "join_theta",
+    S.select(NATION.inner_join(REGION, E.lt(NATION.n_regionkey, REGION.r_regionkey)), NATION.n_name, REGION.r_name),
+    "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey",
+)
+_chain = REGION.inner_join(NATION, E.eq(REGION.r_regionkey, NATION.n_regionkey)).left_join(SUPPLIER, E.eq(NATION.n_nationkey, SUPPLIER.s_nationkey))
+_statement("join_chain", S.select(_chain, REGION.r_name, E.Func("count", SUPPLIER.s_suppkey).alias("suppliers")).group_by(REGION.r_name), "SELECT r_name, count(s_suppkey) AS suppliers FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY r_name")
+_statement(
+    "agg_group",
+    S.select(LINEITEM, LINEITEM.l_returnflag, LINEITEM.l_linestatus, E.Func("round", E.Func("sum", LINEITEM.l_quantity), 2).alias("quantity"), E.Func("round", E.Func("avg", LINEITEM.l_extendedprice), 4).alias("price"), E.Func("min", LINEITEM.l_shipdate).alias("first"), E.Func("max", LINEITEM.l_discount).alias("discount"), _count()).group_by(LINEITEM.l_returnflag, LINEITEM.l_linestatus),
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 4) AS price, min(l_shipdate) AS first, max(l_discount) AS discount, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)
+_statement("agg_global", S.select(ORDERS, _count(), E.Func("round", E.Func("sum", ORDERS.o_totalprice), 1).alias("total")), "SELECT count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders")
+_statement("distinct", S.select(ORDERS, ORDERS.o_orderstatus, ORDERS.o_orderpriority).distinct(), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_statement("order_limit", S.select(ORDERS, ORDERS.o_orderkey, ORDERS.o_totalprice).order_by(ORDERS.o_totalprice.desc(), ORDERS.o_orderkey).limit(25), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+_statement("order_limit_offset", S.select(ORDERS, ORDERS.o_orderkey).order_by(ORDERS.o_custkey, ORDERS.o_orderkey.desc()).limit(10).offset(30), "SELECT o_orderkey FROM orders ORDER BY o_custkey, o_orderkey DESC LIMIT 10 OFFSET 30")
+_by_status = [S.select(ORDERS, ORDERS.o_custkey.alias("k")).where(E.eq(ORDERS.o_orderstatus, s)) for s in "FO"]
+_statement("union_distinct", S.union(*_by_status), "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+_statement("union_all", S.union_all(*_by_status), "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+_k = E.ColumnRef(None, "k")
+_statement("union_outer", S.union_all(*_by_status).where(E.gt(_k, 20)).group_by(_k).order_by(_k).limit(40).offset(5), "SELECT k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') WHERE k > 20 GROUP BY k ORDER BY k LIMIT 40 OFFSET 5")
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return Parquet(spark, d)["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+_ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+
+
+@_query(f"{_ORDERS_SQL} UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey + 1000000 NOT IN (SELECT o_orderkey FROM orders)")
+def insert_ignore(spark, d):
+    target = _orders(spark, d)
+    moved = target.where("o_orderstatus = 'F'").withColumns({"o_orderkey": F.col("o_orderkey") + 1000000, "o_orderstatus": F.lit("N")})
+    given = moved.unionByName(target.where("o_orderstatus = 'O'")).withColumn("_seq", F.col("o_orderkey"))
+    return S.insert_ignore(target, given, ["o_orderkey"])
+
+
+@_query("SELECT o.o_orderkey, o.o_custkey, CASE WHEN i.k IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, CASE WHEN i.k IS NULL THEN o.o_totalprice ELSE o.o_totalprice + i.p END AS o_totalprice FROM orders o LEFT JOIN (SELECT o_orderkey AS k, o_totalprice * 2 AS p FROM orders WHERE o_orderstatus = 'P') i ON o.o_orderkey = i.k UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'U', o_totalprice * 2 FROM orders WHERE o_orderstatus = 'F'")
+def upsert(spark, d):
+    target = _orders(spark, d)
+    double = target.withColumns({"o_totalprice": F.col("o_totalprice") * 2, "o_orderstatus": F.lit("U")})
+    given = double.join(target.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", "left_semi").unionByName(
+        target.where("o_orderstatus = 'F'").withColumns({"o_orderkey": F.col("o_orderkey") + 1000000, "o_orderstatus": F.lit("U"), "o_totalprice": F.col("o_totalprice") * 2})
+    )
+    updates = {"o_orderstatus": E.ColumnValue(ORDERS.o_orderstatus), "o_totalprice": E.add(ORDERS.o_totalprice, E.ColumnValue(ORDERS.o_totalprice))}
+    return S.upsert(target, given.withColumn("_seq", F.lit(1)), ["o_orderkey"], updates)
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 1000, 'NEW', 1 UNION ALL SELECT 1001, NULL, 2")
+def insert_values(spark, d):
+    return S.insert(NATION, NATION.n_nationkey, NATION.n_name, NATION.n_regionkey).add(1000, "NEW", 1).add(1001, None, 2).frame(Parquet(spark, d)["nation"])
+
+
+@_query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def update_rows(spark, d):
+    return S.update(ORDERS).set(ORDERS.o_orderstatus, "Q").set(ORDERS.o_totalprice, E.div(ORDERS.o_totalprice, 2)).where(E.eq(ORDERS.o_orderstatus, "P")).frame(_orders(spark, d))
+
+
+@_query("SELECT o_orderkey, o_custkey, CASE WHEN r <= 50 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) END AS r FROM orders)")
+def update_limit(spark, d):
+    return S.update(ORDERS).set(ORDERS.o_orderstatus, "X").where(E.eq(ORDERS.o_orderstatus, "O")).order_by(ORDERS.o_totalprice.desc(), ORDERS.o_orderkey).limit(50).frame(_orders(spark, d))
+
+
+@_query(f"{_ORDERS_SQL} WHERE NOT (o_totalprice < 100000)")
+def delete_rows(spark, d):
+    return S.delete(ORDERS).where(E.lt(ORDERS.o_totalprice, 100000)).frame(_orders(spark, d))
+
+
+@_query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) ELSE 0 END AS r FROM orders) WHERE r = 0 OR r > 100")
+def delete_limit(spark, d):
+    return S.delete(ORDERS).where(E.eq(ORDERS.o_orderstatus, "F")).order_by(ORDERS.o_orderkey).limit(100).frame(_orders(spark, d))
+
+
+_SETS_SQL = "SELECT l_orderkey, list_sort(list(DISTINCT l_partkey) FILTER (l_returnflag = 'A')) AS a, list_sort(list(DISTINCT l_partkey) FILTER (l_linestatus = 'F')) AS b FROM lineitem GROUP BY l_orderkey"
+
+
+@_query(
+    f"SELECT l_orderkey, list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) AS u, list_sort(list_intersect(coalesce(a, []), coalesce(b, []))) AS i, list_sort(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS s, len(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) = 0 AS sub FROM ({_SETS_SQL})"
+)
+def set_algebra(spark, d):
+    t = Parquet(spark, d)["lineitem"]
+    sets = t.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_partkey"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return sets.select("l_orderkey", F.array_sort(C.union(a, b)).alias("u"), F.array_sort(C.intersect(a, b)).alias("i"), F.array_sort(C.subtract(a, b)).alias("s"), C.is_subset(a, b).alias("sub"))
+
+
+@_query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) AS r FROM part) WHERE r = 1")
+def keyed_set(spark, d):
+    t = Parquet(spark, d)["part"].select("p_brand", "p_partkey", "p_name", "p_size")
+    return C.keyed_set(t, ["p_brand"], ["p_size", "p_partkey"]).select("p_brand", "p_partkey", "p_name")
+
+
+@_query("SELECT user_id, bit_or(1::BIGINT << day(ts)) AS days, bool_or(day(ts) BETWEEN 3 AND 9) AS early FROM events GROUP BY user_id")
+def bitmap_days(spark, d):
+    day = F.day(F.col("ts"))
+    e = Parquet(spark, d)["events"]
+    return e.groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), day)).alias("days"), F.bool_or(day.between(3, 9)).alias("early"))
+
+
+@_query("SELECT o_orderkey, list_transform(range(16), lambda i: (o_orderkey >> CAST(i AS INTEGER)) & 1 = 1 OR i BETWEEN 3 AND 5) AS bits, (o_orderkey & 240) <> 0 AS any_4_7 FROM orders")
+def bit_array(spark, d):
+    bits = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("o_orderkey").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    t = Parquet(spark, d)["orders"].select("o_orderkey", bits.alias("b"))
+    return t.select("o_orderkey", C.set_range(F.col("b"), 3, 5).alias("bits"), C.any_set(F.col("b"), 4, 7).alias("any_4_7"))
+
+
+@_query("SELECT doc_id, md5(text) AS checksum FROM documents")
+def md5_checksum(spark, d):
+    return Parquet(spark, d)["documents"].select("doc_id", H.hex_text(H.md5_checksum(F.col("text"))).alias("checksum"))
+
+
+def _digest_sql(source: str, sign: str = "1") -> str:
+    words = []
+    for i, p in enumerate(H.PRIMES):
+        le = " || ".join(f"substr(h, {8 * i + 2 * b + 1}, 2)" for b in (3, 2, 1, 0))
+        words.append(f"((sum((CAST(concat('0x', {le}) AS BIGINT) % {p}) * {sign}) % {p}) + {p}) % {p}")
+    parts = ", ".join(f"CAST({w} AS BIGINT) AS w{i}" for i, w in enumerate(words))
+    return f"SELECT g, {parts} FROM (SELECT *, sha256(x) AS h FROM ({source})) GROUP BY g"
+
+
+def _digest(df: DataFrame, sign=1) -> DataFrame:
+    state = df.groupBy("g").agg(H.digest_state(F.col("x"), sign).alias("s"))
+    return state.select("g", *(F.col("s")[i].alias(f"w{i}") for i in range(8)))
+
+
+@_query(_digest_sql("SELECT lang AS g, text AS x FROM documents"))
+def multiset_digest(spark, d):
+    return _digest(Parquet(spark, d)["documents"].select(F.col("lang").alias("g"), F.col("text").alias("x")))
+
+
+@_query(_digest_sql("SELECT o_orderpriority AS g, CAST(o_orderkey AS VARCHAR) AS x FROM orders WHERE o_orderstatus <> 'F'"))
+def multiset_digest_remove(spark, d):
+    t = Parquet(spark, d)["orders"].select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").cast("string").alias("x"), "o_orderstatus")
+    gone = t.where("o_orderstatus = 'F'").select("g", "x", F.lit(-1).alias("sign"))
+    return _digest(t.select("g", "x", F.lit(1).alias("sign")).unionByName(gone), F.col("sign"))
+
+
+_M = "4294967295"
+
+
+def _mul(a: str, b: int) -> str:
+    return f"(({a}) * {b}) & {_M}"
+
+
+def _rotl(a: str, r: int) -> str:
+    return f"((({a}) << {r}) | (({a}) >> {32 - r})) & {_M}"
+
+
+def consistent_sql(n: int) -> str:
+    """One row per round of the chain, in steps that DuckDB runs on unsigned 64-bit numbers."""
+    steps = [
+        ("k1", _mul("h", 0xCC9E2D51)), ("k2", _rotl("k1", 15)), ("k3", _mul("k2", 0x1B873593)), ("x1", "xor(12345::UBIGINT, k3)"), ("x2", _rotl("x1", 13)), ("x3", f"(x2 * 5 + {0xE6546B64}) & {_M}"),
+        ("x4", "xor(x3, 4::UBIGINT)"), ("x5", "xor(x4, x4 >> 16)"), ("x6", _mul("x5", 0x85EBCA6B)), ("x7", "xor(x6, x6 >> 13)"), ("x8", _mul("x7", 0xC2B2AE35)), ("x9", "xor(x8, x8 >> 16)"),
+    ]
+    inner = "SELECT key, r, h FROM chain WHERE r < ROUNDS"
+    for name, e in steps:
+        inner = f"SELECT *, ({e})::UBIGINT AS {name} FROM ({inner})"
+    rounds = (n + 1) // 2
+    draws = f"SELECT key, 2 * (r - 1) AS shard, h & 65535 AS draw FROM chain WHERE r > 0 UNION ALL SELECT key, 2 * r - 1, h >> 16 FROM chain WHERE r > 0 AND 2 * r - 1 < {n}"
+    return f"WITH RECURSIVE chain AS (SELECT c_custkey AS key, 0 AS r, xor(c_custkey::UBIGINT & {_M}, c_custkey::UBIGINT >> 32) AS h FROM customer UNION ALL SELECT key, r + 1, x9 FROM ({inner.replace('ROUNDS', str(rounds))})) SELECT key AS c_custkey, CAST(arg_min(shard, (draw % (65535 - shard)) * 65536 + shard) AS INTEGER) AS shard FROM ({draws}) GROUP BY key"
+
+
+@_query(consistent_sql(5))
+def consistent_hash(spark, d):
+    return Parquet(spark, d)["customer"].select("c_custkey", H.consistent_hash(F.col("c_custkey"), 5).alias("shard"))
+
+
+@_query()
+def murmur3(spark, d):
+    return Parquet(spark, d)["part"].select("p_partkey", H.murmur3_32(F.col("p_name"), 0x123456).alias("h"))
+
+
+@_query()
+def fnv_shard(spark, d):
+    return Parquet(spark, d)["part"].select("p_partkey", H.fnv_shard(F.col("p_name"), 7).alias("shard"))
+
+
+@_query("SELECT event_id, hex(base64_decoded) AS h FROM (SELECT event_id, encode(event_type) AS base64_decoded FROM events)")
+def hex_encode(spark, d):
+    return Parquet(spark, d)["events"].select("event_id", F.hex(F.col("event_type").cast("binary")).alias("h"))
+
+
+@_query()
+def sample_rows(spark, d):
+    return C.sample(Parquet(spark, d)["orders"].select("o_orderkey"), 100, 7)
+
+
+@_query()
+def kv_replay(spark, d):
+    """Events as operations on a key per user, from an empty store."""
+    e = Parquet(spark, d)["events"]
+    op = F.element_at(F.array(*map(F.lit, ("set", "get", "add", "cas", "delete"))), (F.col("event_id") % 5 + 1).cast("int"))
+    ops = e.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.col("props").cast("binary").alias("value"), F.lit(0).cast("long").alias("flags"), F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("expiration"), F.lit(1).cast("long").alias("delta"), F.lit(0).cast("long").alias("initial"))
+    empty = spark.createDataFrame([], keyed.STATE)
+    return keyed.apply_operations(empty, ops)
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey < 100 THEN c_name ELSE c_mktsegment END AS value FROM customer")
+def cache_read_through(spark, d):
+    c = Parquet(spark, d)["customer"].withColumn("key", F.col("c_custkey").cast("string"))
+    got, _ = keyed.read_through(c.where("c_custkey < 100").select("key", F.col("c_name").alias("value")), c.select("key", F.col("c_mktsegment").alias("value")), c)
+    return got
+
+
+_RING_SQL = "SELECT s_suppkey AS node, CAST(concat('0x', substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 8)) AS BIGINT) AS position FROM supplier"
+_KEYS_SQL = "SELECT o_orderkey, CAST(concat('0x', substr(md5(concat('k', CAST(o_orderkey AS VARCHAR))), 1, 8)) AS BIGINT) AS key_hash FROM orders"
+
+
+@_query(f"SELECT o_orderkey, key_hash, coalesce(node, (SELECT arg_min(node, position) FROM ({_RING_SQL}))) AS node FROM ({_KEYS_SQL}) k ASOF LEFT JOIN ({_RING_SQL}) r ON k.key_hash <= r.position")
+def ring_lookup(spark, d):
+    t = Parquet(spark, d)
+    spot = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+    ring = t["supplier"].select(F.col("s_suppkey").alias("node"), spot(F.col("s_suppkey").cast("string")).alias("position"))
+    keys = t["orders"].select("o_orderkey", spot(F.concat(F.lit("k"), F.col("o_orderkey").cast("string"))).alias("key_hash"))
+    return flow.ring_lookup(keys, ring)
+
+
+@_query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_users(spark, d):
+    return C.most_recent(Parquet(spark, d)["events"], "user_id", ["ts", "event_id"], 20).select("event_id", "user_id")
+
+
+@_query("SELECT event_id, date_diff('microsecond', ts, TIMESTAMP '2024-01-31 00:00:00') >= 864000000000 AS expired FROM events")
+def queue_timeout(spark, d):
+    return flow.expired(Parquet(spark, d)["events"], F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 864000, "ts").select("event_id", "expired")
+
+
+@_query()
+def token_bucket(spark, d):
+    e = Parquet(spark, d)["events"].select("event_id", "user_id", "ts", F.lit(1.0).alias("tokens"))
+    return flow.token_bucket(e, 0.0001, 3.0, key="user_id")
+
+
+@_query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS INTEGER) AS turn FROM orders")
+def round_robin(spark, d):
+    return flow.round_robin(Parquet(spark, d)["orders"].select("o_orderkey"), 7, ["o_orderkey"])
+
+
+@_query("SELECT least(l_partkey, l_suppkey, l_orderkey) AS lo, greatest(l_partkey, l_suppkey, l_orderkey) AS hi, l_orderkey, l_linenumber FROM lineitem")
+def extremes(spark, d):
+    t = Parquet(spark, d)["lineitem"]
+    three = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey")]
+    return t.select(F.least(*three).alias("lo"), F.greatest(*three).alias("hi"), "l_orderkey", "l_linenumber")
+
+
+def nation_log(rows, schema_id: int = 9) -> bytes:
+    """A change log that inserts nations in one event, renames the first and deletes the second."""
+    log = LogWriter(checksum=True)
+    log.query("db", "BEGIN")
+    kinds, meta = [3, 15, 3], (200).to_bytes(2, "little")
+    image = lambda r: ([False, r["n_name"] is None, False], r["n_nationkey"].to_bytes(4, "little") + bytes([len(r["n_name"].encode())]) + r["n_name"].encode() + r["n_regionkey"].to_bytes(4, "little"))
+    log.table_map(schema_id, "db", "nation", kinds, meta, [False, True, True])
+    log.rows(binlog.WRITE_V2, schema_id, 3, [image(r) for r in rows])
+    log.rows(binlog.UPDATE_V2, schema_id, 3, [image(rows[0]), image(rows[0].asDict() | {"n_name": "renamed"})])
+    log.rows(binlog.DELETE_V1, schema_id, 3, [image(rows[1])])
+    log.xid(77)
+    return bytes(log.data)
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 1")
+def change_log(spark, d):
+    """The nations, written as a change log and read back into their last state."""
+    nations = Parquet(spark, d)["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    log = nation_log(nations.orderBy("n_nationkey").collect())  # 25 rows, a fixture
+    events = binlog.events_of(spark.createDataFrame([("log.000001", bytearray(log))], "path string, content binary"))
+    empty = nations.where("false")
+    return binlog.current_rows(empty, binlog.changes(events), nations.schema, ["n_nationkey"])
+
+
+@_query("SELECT l_orderkey, list_sort(list(l_extendedprice)) AS prices FROM lineitem GROUP BY l_orderkey")
+def array_sort(spark, d):
+    return Parquet(spark, d)["lineitem"].groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("prices"))
