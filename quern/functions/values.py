@@ -16,8 +16,8 @@ _RANGES = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
 
 def parse_number(text: str) -> int:
     """An integer in decimal, hexadecimal (0x) or octal (leading 0); signed 64 bits with a sign, else unsigned."""
-    body = text.lstrip("+-") if text[:1] in "+-" else text
-    if not body or text[1:2] in "+-":
+    body = text[1:] if text.startswith(("+", "-")) else text
+    if not body or not body[0].isdigit():
         raise ValueError(f"no number: {text!r}")
     base = 16 if body[:2].lower() == "0x" else 8 if len(body) > 1 and body[0] == "0" else 10
     value = int(body, base) * (-1 if text[0] == "-" else 1)
@@ -56,7 +56,7 @@ def encode_ascii(c: Column) -> Column:
 
 def encoded(c: Column) -> Column:
     """tag byte, length as a base-128 number, bytes; NULL is its tag alone."""
-    tag, data = kind_of(c), F.when(F.typeof(c) == "binary", c.cast("binary")).otherwise(c.cast("string").cast("binary"))
+    tag, data = kind_of(c), c.cast("string").cast("binary")  # binary keeps its bytes through string
     n = F.octet_length(data)
     low = lambda shift: F.shiftright(n, shift).bitwiseAND(127)
     parts, more = F.lit(b""), None

@@ -96,7 +96,7 @@ class Table(Relation):
             return ColumnRef(self.__dict__["name"], name)
         raise AttributeError(name)
 
-    def c(self, name: str) -> ColumnRef:
+    def col(self, name: str) -> ColumnRef:
         """A column that is looked up when the statement is built."""
         return ColumnRef(self.name, name)
 
