@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from quern.llm.arrays import WHITE, TextBatch, combine, repeated, slices
 from quern.llm.labelled import held_out, learnable, sample_ids
 
-MOST, BINS, ROUNDS, STEP, PENALTY = 20_000, 12, 300, 0.1, 1e-4
+MOST, BINS, ROUNDS, STEP, PENALTY = 20_000, 12, 300, 0.1, 1e-3
 THRESHOLD = 0.3
-#: Prior of the first fit, and chance that the sampling margin of the prior's estimate fails.
-FIRST_PRIOR, RISK = 0.5, 0.1
+#: Prior of the first fits, of which each leaves out one of PARTS, and chance that the sampling margin of the
+#: prior's estimate fails. The estimate errs upwards, as unlabelled and positive texts overlap, and too high a
+#: prior leaves the bracket of the risk empty: half the margin and SLACK are taken off.
+FIRST_PRIOR, PARTS, RISK, SLACK = 0.5, 3, 0.1, 0.03
 
 
 def _among(chars: str) -> np.ndarray:
@@ -118,7 +120,7 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     u = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
     margin = np.sqrt(np.log(4 / RISK) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
     best = int(np.argmin((u + margin) / np.maximum(p, 1e-9)))
-    return float(np.clip(u[best] / max(p[best], 1e-9), 0.01, 0.99))
+    return float(np.clip(u[best] / max(p[best], 1e-9) - margin / 2 - SLACK, 0.05, 0.99))
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
@@ -133,8 +135,14 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
         edges.append(np.sort(inner[:BINS]))
     model = Model(edges, np.zeros(len(NAMES) * (BINS + 1)), 0.0, FIRST_PRIOR)
     p, u = model.columns(pos), model.columns(unl)
-    w, b = _descend(p, u, len(model.weight), FIRST_PRIOR)
-    prior = estimate_prior(w[p].sum(1) + b, w[u].sum(1) + b)
+    # scores of texts that the first fit has not seen, or the positives would stand out too well
+    zp, zu = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(PARTS):
+        ip, iu = np.arange(len(p)) % PARTS == k, np.arange(len(u)) % PARTS == k
+        if (~ip).any() and (~iu).any():
+            w, b = _descend(p[~ip], u[~iu], len(model.weight), FIRST_PRIOR)
+            zp[ip], zu[iu] = w[p[ip]].sum(1) + b, w[u[iu]].sum(1) + b
+    prior = estimate_prior(zp, zu)
     w, b = _descend(p, u, len(model.weight), prior)
     return Model(edges, w, b, prior)
 

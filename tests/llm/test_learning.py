@@ -13,7 +13,7 @@ BAD = ["idiotic", "scumbag", "moronic"]
 def corpus():
     r = random.Random(8)
     docs, quality, toxic = [], {}, {}
-    for i in range(1200):
+    for i in range(4000):
         w = [r.choice(WORDS) + r.choice(["", ".", ","]) for _ in range(r.randrange(20, 80))]
         toxic[i], quality[i] = int(i % 6 == 0), int(i % 5 != 0)
         if toxic[i]:
@@ -34,7 +34,7 @@ def test_toxicity(spark, frame, corpus):
     docs, _, toxic = corpus
     got = toxicity.classify(frame([*docs, (None, None), (9000, ""), (9001, "x" * 200_000)]), labels(spark, corpus)).collect()
     held = [r for r in got if r.held_out and r.doc_id in toxic]
-    assert len(got) == len(docs) + 3 and len(held) > 150
+    assert len(got) == len(docs) + 3 and len(held) > 500
     assert sum(r.predicted == toxic[r.doc_id] for r in held) >= 0.99 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
 
@@ -54,7 +54,7 @@ def test_prior_from_two_samples():
     r = np.random.default_rng(0)
     pos = r.normal(2, 1, 5000)
     unl = np.concatenate([r.normal(2, 1, 3500), r.normal(-3, 1, 1500)])
-    assert abs(quality_pu.estimate_prior(pos, unl) - 0.7) < 0.06
+    assert 0.6 < quality_pu.estimate_prior(pos, unl) < 0.7  # rather too low than too high
 
 
 def test_without_labels(spark, frame):
