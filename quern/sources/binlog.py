@@ -25,6 +25,11 @@ MAGIC = b"\xfebin"
 QUERY, STOP, ROTATE, FORMAT, XID, TABLE_MAP, ROWS_QUERY, GTID, PREVIOUS_GTIDS = 2, 3, 4, 15, 16, 19, 29, 33, 35
 WRITE_V1, UPDATE_V1, DELETE_V1, WRITE_V2, UPDATE_V2, DELETE_V2 = 23, 24, 25, 30, 31, 32
 OPERATIONS = {WRITE_V1: "insert", WRITE_V2: "insert", UPDATE_V1: "update", UPDATE_V2: "update", DELETE_V1: "delete", DELETE_V2: "delete"}
+EVENT_NAMES = (
+    "UNKNOWN", "START_V3", "QUERY", "STOP", "ROTATE", "INTVAR", "LOAD", "SLAVE", "CREATE_FILE", "APPEND_BLOCK", "EXEC_LOAD", "DELETE_FILE", "NEW_LOAD", "RAND", "USER_VAR", "FORMAT_DESCRIPTION", "XID",
+    "BEGIN_LOAD_QUERY", "EXECUTE_LOAD_QUERY", "TABLE_MAP", "PRE_GA_WRITE_ROWS", "PRE_GA_UPDATE_ROWS", "PRE_GA_DELETE_ROWS", "WRITE_ROWS_V1", "UPDATE_ROWS_V1", "DELETE_ROWS_V1", "INCIDENT", "HEARTBEAT",
+    "IGNORABLE", "ROWS_QUERY", "WRITE_ROWS_V2", "UPDATE_ROWS_V2", "DELETE_ROWS_V2", "GTID", "ANONYMOUS_GTID", "PREVIOUS_GTIDS",
+)
 HEADER = struct.Struct("<IBIIIH")
 
 EVENT = "file string, position long, timestamp long, type int, server_id long, length long, next_position long, flags int, body binary, error string"
@@ -116,6 +121,32 @@ def rotations(events: DataFrame) -> DataFrame:
     return events.where(F.col("type") == ROTATE).select("file", "position", little_endian(F.col("body"), 0, 8).cast("long").alias("new_position"), _rest(8).cast("string").alias("new_file"))
 
 
+def checked_rotations(events: DataFrame, prefix: str) -> DataFrame:
+    """rotations with error: a file's rotation must name the prefix and the number after its own, 999999 before 0."""
+    number = lambda c: F.regexp_extract(c, r"([0-9]{6})$", 1)
+    own, new = number(F.col("file")), number(F.col("new_file"))
+    wrong = (
+        F.when(~F.startswith("new_file", F.lit(prefix)) | (F.length("new_file") != len(prefix) + 6), "wrong prefix")
+        .when(new == "", "wrong number")
+        .when(new.cast("int") != (own.cast("int") + 1) % 1_000_000, "not the next file")
+    )
+    return rotations(events).withColumn("error", wrong)
+
+
+def relayed(events: DataFrame) -> DataFrame:
+    """Events of relay logs without what the relay itself wrote: the first format event of each file, and
+    rotations whose header says they were not sent on (a timestamp other than 0)."""
+    first = events.where(F.col("type") == FORMAT).groupBy("file").agg(F.min("position").alias("_p"))
+    own = (F.col("type") == ROTATE) & (F.col("timestamp") != 0)
+    joined = events.join(first, "file", "left")
+    return joined.where(~own & ~((F.col("type") == FORMAT) & (F.col("position") == F.col("_p")))).select(*events.columns)
+
+
+def event_name(kind: Column) -> Column:
+    """Name of an event type; null for numbers beyond the format's."""
+    return F.get(F.array(*map(F.lit, EVENT_NAMES)), kind)
+
+
 def transactions(events: DataFrame) -> DataFrame:
     return events.where(F.col("type") == XID).select("file", "position", little_endian(F.col("body"), 0, 8).alias("xid"))
 

@@ -122,3 +122,18 @@ def test_tailing_a_folder(spark, tmp_path):
     assert run() == 3
     assert run() == 3
     assert spark.read.format("quern_log").option("path", str(folder)).option("prefix", "log.").load().where(f"type = {B.XID}").count() == 3
+
+
+def test_rotations_are_checked(spark):
+    def log(target):
+        w = LogWriter()
+        w.rotate(target)
+        return bytes(w.data)
+
+    names = {"log.000001": "log.000002", "log.999999": "log.000000", "log.000005": "log.000007", "log.000008": "other.000009", "log.000010": "log.abc"}
+    events = B.events_of(spark.createDataFrame([(n, bytearray(log(t))) for n, t in names.items()], "path string, content binary"))
+    got = {r.file: r.error for r in B.checked_rotations(events, "log.").collect()}
+    assert got == {"log.000001": None, "log.999999": None, "log.000005": "not the next file", "log.000008": "wrong prefix", "log.000010": "wrong prefix"}
+    kinds = {r.n for r in events.select(B.event_name(events["type"]).alias("n")).collect()}
+    assert kinds == {"FORMAT_DESCRIPTION", "ROTATE"}
+    assert B.relayed(events).count() == 0 and len(B.EVENT_NAMES) == 36
