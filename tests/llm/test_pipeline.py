@@ -6,13 +6,20 @@ import corpus_pipeline
 import __spark_entry__ as entry
 
 
+WORDS = (
+    "committee river morning several proposal winter garden window people letter market silver before after between without yellow mountain teacher kitchen bridge forest music paper engine harbour island "
+    "village summer answer question doctor farmer picture number family story water stone road house table chair night light green heavy simple quiet early late always never often maybe under above behind "
+    "carried opened closed started finished wanted thought brought turned walked followed remembered found called asked helped moved waited watched built broken painted written spoken given taken shown "
+    "every another little large small round narrow wide deep high young ancient modern common special general local foreign public private second third last next other same own whole half many few some"
+).split()
+
+
 def corpus(r):
-    words = ["committee", "river", "morning", "several", "proposal", "winter", "garden", "window", "people", "letter", "market", "silver", "before", "after", "between", "without"]
-    prose = lambda n: "\n".join(" ".join(r.choice(words) + str(r.randrange(400)) for _ in range(14)) for _ in range(n))
+    prose = lambda n: "\n".join(" ".join(r.choice(WORDS) for _ in range(14)) for _ in range(n))
     rows = [(i, prose(6)) for i in range(30)]
     boiler = "shared line one here\nshared line two here\nshared line three here"
     rows += [(100 + i, prose(6) + "\n" + boiler) for i in range(4)]
-    base = prose(10).split(" ")
+    base = prose(10).split()  # on one line, so that no windows repeat
     rows += [(200 + i, " ".join([*base[:-1], f"edit{i}"])) for i in range(3)]
     rows += [(300, "too short"), (301, "word " * 200), (302, prose(6) + " write to jane.doe@mail.org now")]
     return rows
