@@ -212,7 +212,7 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def archived(pages: DataFrame, version: int = 1) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the WARC files."""
     stored = checkpointed(convert(write_arc(pages, version)))
-    records = read_warc(stored)
+    records = checkpointed(read_warc(stored))
     kept = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"))
     return records.join(kept, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
