@@ -6,9 +6,9 @@ Texts become sets of five-word shingles; two texts link when 100 * |A & B| >= 75
    shingle lies. Shingles of a single set only count towards set sizes from then on.
 2. Frequency octave, then hash, is the global n-gram order. Each set keeps its shared shingles in it; a
    set whose shared shingles are too few for any link is done.
-3. The rarest shingles of the others, so many that linked sets share one, propose candidates. The smallest
-   set id under a shingle stands for it: first every set is held against the best such hub, then against
-   its other hubs; at last all pairs that share a shingle and still lie in different components.
+3. The rarest shingles of the others, so many that linked sets share one, propose candidates. Under each
+   shingle the set with the fewest shingles of its own is the hub: every set is first held against the hub
+   with which it shares most, then all pairs that share a shingle and still lie in different components.
 4. Overlaps are counted vertically: the global order is cut at pivots, each fragment of a candidate pair is
    intersected by itself, and the partial overlaps are summed per pair.
 
@@ -39,6 +39,10 @@ WORDS = 5
 PERCENT = 75
 #: Fragments per shuffle partition while counting, and vertical fragments while intersecting.
 SPREAD, VERTICAL = 4, 4
+#: Shingles that a task holds before it packs them by fragment.
+TOGETHER = 2_000_000
+#: Links, of 16 bytes, of which so many are handled in one task and their labels broadcast; more are shuffled.
+FEW = 200_000
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -116,7 +120,7 @@ def _fragments(fragments: int, k: int):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             held: tuple[list, list, list, list] = ([], [], [], [])
-            base = 0
+            base = waiting = 0
             for lo, hi in slices([len(t or "") + 64 for t in texts]):
                 doc, h, size = shingle_sets(texts[lo:hi], k)
                 node = set_ids(doc, h, size)
@@ -129,14 +133,15 @@ def _fragments(fragments: int, k: int):
                         fresh[i] = True
                 if not fresh.any():
                     continue
-                if base + fresh.sum() > 60_000:
+                if base + fresh.sum() > 60_000 or waiting > TOGETHER:
                     yield from flush(*held)
-                    held, base = ([], [], [], []), 0
+                    held, base, waiting = ([], [], [], []), 0, 0
                 place = np.cumsum(fresh) - 1 + base
                 mine = fresh[doc]
                 for part, x in zip(held, (node[fresh], size[fresh], place[doc[mine]], h[mine]), strict=True):
                     part.append(x)
                 base += int(fresh.sum())
+                waiting += int(mine.sum())
             if base:
                 yield from flush(*held)
 
@@ -245,7 +250,7 @@ def _ordered(percent: int):
 
 
 def _prefixes(percent: int):
-    """(shingle, set, size, position in the set's global order) of the rarest shared shingles."""
+    """(shingle, set, size, position in the set's global order, shingles it shares with none) of the rarest shared shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,8 +262,8 @@ def _prefixes(percent: int):
                 t = take[lo:hi]
                 offset = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[:m] for x, m in zip(lists[lo:hi], t, strict=True)])), pa.array(np.repeat(node[lo:hi], t)), pa.array(np.repeat(n[lo:hi], t)), pa.array(np.repeat((n - count)[lo:hi], t) + offset)],
-                    names=["v", "node", "n", "pos"],
+                    [pa.array(np.concatenate([x[:m] for x, m in zip(lists[lo:hi], t, strict=True)])), pa.array(np.repeat(node[lo:hi], t)), pa.array(np.repeat(n[lo:hi], t)), pa.array(np.repeat((n - count)[lo:hi], t) + offset), pa.array(np.repeat((n - count)[lo:hi], t))],
+                    names=["v", "node", "n", "pos", "own"],
                 )
 
     return run
@@ -283,11 +288,17 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlap of each fragment pair."""
     for batch in batches:
         out = np.empty(batch.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
             both = np.concatenate((np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")))
             both.sort()
             out[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "part"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["a", "b", "na", "nb", "part"])
+
+
+def _together(links: DataFrame) -> DataFrame:
+    """links, kept; counted, and if they are few in one partition, which spares the rounds over them all shuffles."""
+    kept = checkpointed(links)
+    return kept.coalesce(1) if kept.count() <= FEW else kept
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -296,13 +307,13 @@ def connected(edges: DataFrame) -> DataFrame:
     A hub is joined, never gathered; the loop ends when a round leaves the edges as they were.
     """
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = _together(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = print_of(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -316,7 +327,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Join:
-    """documents: doc_id, node, n_shingles; labels: node, comp of sets in components of two or more;
+    """documents: doc_id, node, n_shingles; labels: node, comp of sets linked to a smaller set, which names the component;
     links: a, b, overlap, the tested pairs that link, which span every component."""
 
     documents: DataFrame
@@ -337,47 +348,65 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
     pivots = _pivots(sets)
     segs = sets.select("node", "data").mapInArrow(_cut(pivots), "node long, f int, seg binary")
-    prefix = checkpointed(sets.mapInArrow(_prefixes(percent), "v long, node long, n long, pos long"))
+    prefix = checkpointed(sets.mapInArrow(_prefixes(percent), "v long, node long, n long, pos long, own long"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         one = pairs.join(segs.select(F.col("node").alias("a"), "f", F.col("seg").alias("seg_a")), "a")
         two = one.join(segs.select(F.col("node").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
-        parts = two.select("a", "b", "seg_a", "seg_b").mapInArrow(_overlap, "a long, b long, part long")
-        total = parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
-        sizes = total.join(pairs.select("a", "b", "na", "nb"), ["a", "b"])
-        return checkpointed(sizes.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap"))
+        parts = two.select("a", "b", "na", "nb", "seg_a", "seg_b").mapInArrow(_overlap, "a long, b long, na long, nb long, part long")
+        total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+        return checkpointed(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap"))
 
     similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    hub = prefix.groupBy("v").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("nb"), F.min_by("pos", "node").alias("pb"), F.count("*").alias("g")).where("g > 1")
+    # the set with the fewest shingles of its own is the likeliest middle of a group; ties go by the set id
+    rank = F.least("own", F.lit((1 << 22) - 1)) * (1 << 40) + F.col("node").bitwiseAND((1 << 40) - 1)
+    ranked = prefix.withColumn("rank", rank)
+    hub = ranked.groupBy("v").agg(*(F.min_by(c, "rank").alias(o) for c, o in (("node", "hub"), ("n", "nb"), ("pos", "pb"))), F.min("rank").alias("top"), F.count("*").alias("g")).where("g > 1")
     # what both can still share from these places on must reach the overlap that links them
     enough = lambda na, pa_, nb, pb: (100 + percent) * (F.least(na - pa_, nb - pb)) >= percent * (na + nb)
-    star = prefix.join(hub, "v").where(F.col("node") != F.col("hub")).where(similar(F.col("n"), F.col("nb")))
+    star = ranked.join(hub, "v").where("rank > top").where(similar(F.col("n"), F.col("nb")))
     star = star.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min("n").alias("na"), F.min("nb").alias("nb"), F.min("pos").alias("pa"), F.min("pb").alias("pb"), F.count("*").alias("k"))
-    star = checkpointed(star.where(enough(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b", "na", "nb", "k"))
-    best = star.groupBy("a").agg(F.max_by("b", "k").alias("b"), F.max_by("na", "k").alias("na"), F.max_by("nb", "k").alias("nb"))
+    star = star.where(enough(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b", "na", "nb", "k")
+    # kept, as ties may fall otherwise when it is made again
+    best = checkpointed(star.groupBy("a").agg(F.max_by("b", "k").alias("b"), F.max_by("na", "k").alias("na"), F.max_by("nb", "k").alias("nb")))
     links = linked(best)
-    labels = checkpointed(connected(links))
+    labels = _roots(_together(links.select(F.col("a").alias("node"), F.col("b").alias("comp"))))
+    small = labels.count() <= FEW
 
     def label(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(labels.select(F.col("node").alias(col), F.col("comp").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
-
-    rest = label(label(star, "a", "ca"), "b", "cb").where("ca != cb").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(linked(checkpointed(rest.select("a", "b", "na", "nb"))))
-    labels = checkpointed(connected(links))
+        of = labels.select(F.col("node").alias(col), F.col("comp").alias("_c"))
+        return df.join(F.broadcast(of) if small else of, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
-    placed = label(prefix, "node", "comp")
-    sizes = placed.groupBy("v", "comp").agg(F.count("*").alias("g"))
-    mixed = sizes.groupBy("v").agg(F.max_by("comp", "g").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_ = checkpointed(placed.join(mixed, "v"))
+    placed = label(ranked, "node", "comp")
+    # the hub's component is most often the largest under a shingle; any would do
+    mixed = placed.groupBy("v").agg(F.min_by("comp", "rank").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "most")
+    open_ = checkpointed(placed.drop("rank", "own").join(mixed, "v"))
     x = open_.where("comp != most").select("v", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp")), F.col("most"))
     y = open_.select("v", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp")))
     cross = x.join(y, "v").where(F.col("comp_x") != F.col("comp_y")).where((F.col("comp_y") == F.col("most")) | (F.col("node_x") > F.col("node_y")))
     cross = cross.where(similar(F.col("n_x"), F.col("n_y"))).where(enough(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")))
     bigger = F.col("node_x") > F.col("node_y")
     pair = cross.select(*(F.when(bigger, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(o) for c, p, q, o in (("node", "x", "y", "a"), ("node", "y", "x", "b"), ("n", "x", "y", "na"), ("n", "y", "x", "nb"))))
-    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = links.union(linked(checkpointed(pair.distinct().join(tested, ["a", "b"], "left_anti"))))
-    return Join(documents, checkpointed(connected(links)), links)
+    tested = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = checkpointed(pair.distinct().join(tested, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
+        return Join(documents, labels, links)
+    more = linked(pairs)
+    bridges = label(label(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = checkpointed(connected(bridges))
+    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    return Join(documents, checkpointed(moved.union(merged.select("node", "comp"))), links.union(more))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, comp): the end of each node's chain of parents, found by doubling. Parents have a lower rank than
+    their nodes, so there are no rings."""
+    out = parents
+    while True:
+        up = out.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        if out.join(up, "comp", "left_semi").isEmpty():
+            return out
+        out = checkpointed(out.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")))
 
 
 def _pivots(sets: DataFrame) -> list[int]:
