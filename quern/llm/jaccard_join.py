@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import TextBatch, combine, mix, slices
-from quern.llm.common import checkpointed, shuffle_partitions
+from quern.llm.common import checkpointed, shuffle_partitions, written
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -361,7 +361,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # the set with the fewest shingles of its own is the likeliest middle of a group; ties go by the set id
     rank = F.least("own", F.lit((1 << 22) - 1)) * (1 << 40) + F.col("node").bitwiseAND((1 << 40) - 1)
     ranked = prefix.withColumn("rank", rank)
-    hub = ranked.groupBy("v").agg(*(F.min_by(c, "rank").alias(o) for c, o in (("node", "hub"), ("n", "nb"), ("pos", "pb"))), F.min("rank").alias("top"), F.count("*").alias("g")).where("g > 1")
+    hub = ranked.groupBy("v").agg(*(F.min_by(c, "rank").alias(o) for c, o in (("node", "hub"), ("n", "nb"), ("pos", "pb"))), F.min("rank").alias("top"), F.count("*").alias("g")).where("g > 1").drop("g")
+    # written: a join with the aggregate itself would hold each shingle's sets in the task that made it, and
+    # could not be split under a hot shingle
+    hub = written(hub)
     # what both can still share from these places on must reach the overlap that links them
     enough = lambda na, pa_, nb, pb: (100 + percent) * (F.least(na - pa_, nb - pb)) >= percent * (na + nb)
     star = ranked.join(hub, "v").where("rank > top").where(similar(F.col("n"), F.col("nb")))
@@ -380,7 +383,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     placed = label(ranked, "node", "comp")
     # the hub's component is most often the largest under a shingle; any would do
     mixed = placed.groupBy("v").agg(F.min_by("comp", "rank").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "most")
-    open_ = checkpointed(placed.drop("rank", "own").join(mixed, "v"))
+    open_ = checkpointed(placed.drop("rank", "own").join(written(mixed), "v"))
     x = open_.where("comp != most").select("v", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp")), F.col("most"))
     y = open_.select("v", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp")))
     cross = x.join(y, "v").where(F.col("comp_x") != F.col("comp_y")).where((F.col("comp_y") == F.col("most")) | (F.col("node_x") > F.col("node_y")))
@@ -431,6 +434,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     """doc_id, n_shingles, component_id: the smallest id that links reach, the document's own included."""
     found = join(docs, text, key, words, percent)
     placed = found.documents.join(found.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("doc_id", "n_shingles", "comp")
-    least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join back can be split under a hot component
+    least = written(placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     some = placed.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
     return some.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
