@@ -275,11 +275,10 @@ def _cut(pivots: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), "<u8")
-                pieces = np.split(x, np.searchsorted(x, at))
-                some = [i for i, p in enumerate(pieces) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["node", "f", "seg"])
+            nodes, lists = batch.column(0).to_pylist(), [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+            for lo, hi in slices([x.nbytes for x in lists], 2 << 20):
+                cuts = [(node, f, piece.tobytes()) for node, x in zip(nodes[lo:hi], lists[lo:hi], strict=True) for f, piece in enumerate(np.split(x, np.searchsorted(x, at))) if len(piece)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*cuts, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["node", "f", "seg"])
 
     return run
 
@@ -301,6 +300,11 @@ def _together(links: DataFrame) -> DataFrame:
     return kept.coalesce(1) if kept.count() <= FEW else kept
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each of the pairs of columns of each row; unlike a union it leaves the partitions as they are."""
+    return df.select(F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each component, by alternating large-star and small-star steps.
 
@@ -310,14 +314,12 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = _together(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = print_of(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u != v").distinct())
+        edges = _together(_each(large.join(least, "u"), ("v", "m"), ("u", "m")).where("u != v").distinct())
         after = print_of(edges)
         if tuple(after) == tuple(before):
             break
