@@ -41,7 +41,7 @@ PERCENT = 75
 SPREAD, VERTICAL = 4, 4
 #: Shingles that a task holds before it packs them by fragment.
 TOGETHER = 2_000_000
-#: Links, of 16 bytes, of which so many are handled in one task and their labels broadcast; more are shuffled.
+#: Rows of 16 bytes, links or shingles, of which so many are handled in one task or broadcast; more are shuffled.
 FEW = 200_000
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -385,7 +385,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     placed = label(ranked, "node", "comp")
     # the hub's component is most often the largest under a shingle; any would do
     mixed = placed.groupBy("v").agg(F.min_by("comp", "rank").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "most")
-    open_ = checkpointed(placed.drop("rank", "own").join(written(mixed), "v"))
+    mixed = written(mixed)
+    open_ = checkpointed(placed.drop("rank", "own").join(F.broadcast(mixed) if mixed.count() <= FEW else mixed, "v"))
     x = open_.where("comp != most").select("v", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp")), F.col("most"))
     y = open_.select("v", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp")))
     cross = x.join(y, "v").where(F.col("comp_x") != F.col("comp_y")).where((F.col("comp_y") == F.col("most")) | (F.col("node_x") > F.col("node_y")))
