@@ -5,7 +5,8 @@ still tell which one it was, so corpus co-occurrence estimates what each word di
 PMI(entity; term) = ln(n(e, t) * N / (n(e) * n(t))) over documents, where n(e, t) counts documents with the
 term within a window of the entity. Its share of the entity's information ln(N / n(e)) is the disclosure;
 terms beyond one threshold are generalised to their class, beyond a higher one removed, in every document
-that holds the entity.
+that holds the entity, wherever they stand in it: the window is for the estimate alone. A second pass over the
+texts with entities finds the places; a bitmap of fixed size keeps most terms that disclose nothing out of it.
 
 Terms are runs of ASCII letters and digits or of characters beyond ASCII, A-Z in lower case. Positions are
 code points, ends exclusive.
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import TextBatch, slices
-from quern.llm.common import checkpointed, row_hash
+from quern.llm.common import checkpointed, row_hash, written
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 #: Words on either side of an entity; documents a term and an entity must share; thresholds of disclosure.
 REACH, SUPPORT, GENERALISE, REMOVE = 10, 2, 0.75, 0.9
 MIN_TERM = 3
+#: Bits of the filter of disclosing terms, by the low bits of their hashes.
+FILTER_BITS = 1 << 25
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,33 +113,38 @@ def text_form(spans: list[tuple[int, int, int]]) -> str:
 
 
 _SPAN = "array<struct<start: int, kind: int, end: int>>"
-_FOUND = f"doc_id long, _a long, _b long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>, pairs array<struct<e: long, t: long>>, places array<struct<t: long, start: int, end: int>>"
-
-
-def _context(b: TextBatch, got, i: int, spans, keys: list[int], heads: np.ndarray):
-    """(entity, term) pairs of text i and where its paired terms occur."""
-    lo, hi = got[4][i], got[4][i + 1]
-    start = heads[got[0][lo:hi]] - heads[b.start[i]]
-    end = heads[got[1][lo:hi]] - heads[b.start[i]]
-    h = got[3][lo:hi]
-    merged: list[list[int]] = []
-    for s, _, e in spans:
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    m = np.array(merged)
-    after = np.searchsorted(m[:, 0], end, "left") - 1
-    free = (after < 0) | (m[np.maximum(after, 0), 1] <= start)
-    start, end, h = start[free], end[free], h[free]
+_FOUND = f"doc_id long, _a long, _b long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>, pairs array<struct<e: long, t: long>>, text string"
+
+
+def _free_terms(texts: list[str], base: list[list[tuple[int, int, int]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end and hash of the terms of each text that touch none of its spans (start, kind, end), in code points."""
+    b = TextBatch(texts, lower=True)
+    heads = np.concatenate(([0], np.cumsum((b.bytes & 0xC0) != 0x80)))
+    first, last, doc, hashes = terms(b)
+    bounds = np.searchsorted(doc, np.arange(b.n + 1))
+    for i, spans in enumerate(base):
+        lo, hi = bounds[i], bounds[i + 1]
+        start, end = heads[first[lo:hi]] - heads[b.start[i]], heads[last[lo:hi]] - heads[b.start[i]]
+        merged: list[list[int]] = []
+        for s, _, e in spans:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        m = np.array(merged)
+        after = np.searchsorted(m[:, 0], end, "left") - 1
+        free = (after < 0) | (m[np.maximum(after, 0), 1] <= start)
+        yield start[free], end[free], hashes[lo:hi][free]
+
+
+def _context(start: np.ndarray, end: np.ndarray, h: np.ndarray, spans, keys: list[int]) -> list[tuple[int, int]]:
+    """(entity, term) pairs of a text by the window around each entity."""
     pairs = set()
     for (s, _, e), key in zip(spans, keys, strict=True):
         left, right = np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left")
         near = np.concatenate((h[max(0, left - REACH) : left], h[right : right + REACH]))
         pairs.update((key, t) for t in near.tolist())
-    wanted = np.isin(h, np.fromiter({t for _, t in pairs}, np.int64))
-    places = list(zip(h[wanted].tolist(), start[wanted].tolist(), end[wanted].tolist(), strict=True))
-    return sorted(pairs), places
+    return sorted(pairs)
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +153,6 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     pair = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))
-    place = pa.list_(pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         all_texts = batch.column(1).to_pylist()
         for lo, hi in slices([len(t or "") + 64 for t in all_texts]):
@@ -153,14 +160,10 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = [base_spans(t) for t in texts]
             keys: list[list[int]] = [[entity_key(k, t[s:e]) for s, k, e in spans] if spans else [] for t, spans in zip(texts, base, strict=True)]
             pairs: list[list] = [[] for _ in texts]
-            places: list[list] = [[] for _ in texts]
             private = [i for i, s in enumerate(base) if s]
             if private:
-                b = TextBatch([texts[i] for i in private], lower=True)
-                heads = np.concatenate(([0], np.cumsum((b.bytes & 0xC0) != 0x80)))
-                got = (*(t := terms(b)), np.searchsorted(t[2], np.arange(b.n + 1)))
-                for j, i in enumerate(private):
-                    pairs[i], places[i] = _context(b, got, j, base[i], keys[i], heads)
+                for i, found in zip(private, _free_terms([texts[i] for i in private], [base[i] for i in private]), strict=True):
+                    pairs[i] = _context(*found, base[i], keys[i])
             counts = [[sum(k == kind for _, k, _ in spans) if spans else 0 for spans in base] for kind in range(4)]
             digests = [hashlib.sha256(text_form(s).encode()).hexdigest() for s in base]
             rows = np.arange(row, row + len(texts))
@@ -170,12 +173,37 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *(batch.column(c).slice(lo, hi - lo) for c in (0, 2, 3)), pa.array(rows), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests),
                     pa.array(as_struct(("start", "kind", "end"), base), span), pa.array([sorted(set(k)) for k in keys], pa.list_(pa.int64())),
-                    pa.array(as_struct(("e", "t"), pairs), pair), pa.array(as_struct(("t", "start", "end"), places), place),
+                    pa.array(as_struct(("e", "t"), pairs), pair), pa.array([t if s else None for t, s in zip(texts, base, strict=True)], pa.string()),
                 ],
-                names=["doc_id", "_a", "_b", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "pairs", "places"],
+                names=["doc_id", "_a", "_b", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "pairs", "text"],
             )
 
 
+def _places(found: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """_row, t, start, end: all places of terms in texts with entities, of disclosing terms and by chance of others
+    that share the bits of their hashes."""
+    low = F.col("t").bitwiseAND(FILTER_BITS - 1)
+    words = disclosing.select(F.shiftright(low, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(t & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toPandas()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    shared = found.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            rows, all_texts, spans = (c.to_pylist() for c in batch.columns)
+            for lo, hi in slices([len(t) + 64 for t in all_texts]):
+                base = [[(s["start"], s["kind"], s["end"]) for s in x] for x in spans[lo:hi]]
+                for row, (start, end, h) in zip(rows[lo:hi], _free_terms(all_texts[lo:hi], base), strict=True):
+                    bit = h.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+                    hit = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.sum(), row)), pa.array(h[hit]), pa.array(start[hit].astype(np.int32)), pa.array(end[hit].astype(np.int32))], names=["_row", "t", "start", "end"])
+
+    return found.where("text is not null").select("_row", "text", "base").mapInArrow(run, "_row long, t long, start int, end int")
+
+
 def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t, df): in how many rows of docs each term occurs; combined in each task before the shuffle."""
 
@@ -216,7 +244,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     (array of start, kind, end): base spans, and those of disclosing terms."""
     a, b = row_hash(key, text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), a.alias("_a"), b.alias("_b"))
-    found = checkpointed(rows.mapInArrow(_detect, _FOUND))
+    found = written(rows.mapInArrow(_detect, _FOUND))
     total = found.count()
     each = found.select("_row", F.explode("pairs").alias("p")).select("_row", "p.e", "p.t")
     shared = each.groupBy("e", "t").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
@@ -225,10 +253,12 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     pmi = F.log(F.col("n") * float(max(total, 1)) / (F.col("ne") * F.col("df")))
     judged = shared.join(entity, "e").join(term_frequencies(rows), "t").where(F.col("ne") < total).withColumn("share", pmi / information)
     disclosing = checkpointed(judged.where(F.col("share") >= GENERALISE).select("e", "t", F.when(F.col("share") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("kind")))
-    hits = each.join(disclosing, ["e", "t"]).groupBy("_row", "t").agg(F.max("kind").alias("kind"))
-    places = found.select("_row", F.explode("places").alias("p")).select("_row", "p.t", "p.start", "p.end")
-    more = places.join(hits, ["_row", "t"]).groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    joined = found.drop("entities", "pairs", "places").join(more, "_row", "left")
+    # by the term first: a term discloses few entities, but an entity in many rows may have as many terms
+    holds = found.select("_row", F.explode("entities").alias("e"))
+    near = _places(found, disclosing).join(disclosing, "t").join(holds, ["_row", "e"], "left_semi")
+    place = near.groupBy("_row", "start", "end").agg(F.max("kind").alias("kind"))
+    more = place.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    joined = found.drop("entities", "pairs", "text").join(more, "_row", "left")
     return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))).drop("more", "base", "_row")
 
 

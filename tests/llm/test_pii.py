@@ -59,6 +59,18 @@ def test_disclosing_terms(frame):
     assert found[200].spans == [] and found[0].spans == []  # nothing to protect there
 
 
+def test_disclosing_terms_far_from_the_entity(frame):
+    heading = "jane.doe@mail.org " + "some " * 30
+    rows = [*_corpus(), (110, heading + "zorblatt with zorblatt"), (111, "write to other@mail.org " + "some " * 30 + "zorblatt"), *((400 + i, "and with from that") for i in range(200)), (112, "é " * 9 + heading + "Zorblatt")]
+    found = {r.doc_id: r for r in pii.detect(frame(rows)).collect()}
+    text = dict(rows)
+    terms = {i: [text[i][s["start"] : s["end"]] for s in found[i].spans if s["kind"] > 3 and s["start"] in (m.start() for m in re.finditer("(?i)zorblatt", text[i]))] for i in (100, 110, 111, 112)}
+    assert terms[100] == ["zorblatt"] and terms[110] == ["zorblatt"] * 2 and terms[112] == ["Zorblatt"]
+    assert terms[111] == []  # another entity's document
+    out = {r.doc_id: r.text.lower() for r in pii.sanitise(frame(rows)).collect()}
+    assert all("zorblatt" not in out[i] for i in (100, 110, 112)) and "zorblatt" in out[111]
+
+
 def test_sanitise(frame):
     docs = frame([*_corpus(), (300, None), (301, "")])
     out = {r.doc_id: r for r in pii.sanitise(docs).collect()}
