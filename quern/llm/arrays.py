@@ -130,14 +130,18 @@ def repeated(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Encodings of distinct words by hash, in flat arrays; ``encode`` gets unseen words as bytes.
 
-    The memory is bounded: beyond ``most`` words the table starts anew.
+    The memory is bounded: beyond ``most`` words the table starts anew, and its generation grows: slots of
+    another generation mean nothing.
     """
 
+    generation = 0
+
     def __init__(self, encode, most: int = 400_000):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
+        self.generation += 1
         self.hashes = np.empty(0, np.uint64)
         self.slot = np.empty(0, np.int64)
         self.bounds = np.zeros(1, np.int64)

@@ -136,6 +136,7 @@ class Merges:
         self.words = Vocabulary(self.encode, 600_000)
         self.text: list[bytes] = []
         self.plain: list[bytes] = []
+        self.generation = self.words.generation
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word number and id of every token, in order."""
@@ -204,8 +205,8 @@ class Merges:
         start, end, doc, b = pretokens(texts)
         slot = self.words.rows(b.hash_spans(start, end), lambda i: b.span_bytes(int(start[i]), int(end[i])))
         bounds, ids = self.words.bounds, self.words.ids
-        if len(self.text) > len(bounds) - 1:
-            self.text, self.plain = [], []
+        if self.generation != self.words.generation:
+            self.text, self.plain, self.generation = [], [], self.words.generation
         fresh = [ids[bounds[i] : bounds[i + 1]] for i in range(len(self.text), len(bounds) - 1)]
         for lo in range(0, len(fresh), 100_000):
             part = fresh[lo : lo + 100_000]

@@ -45,6 +45,18 @@ def test_vocabulary_is_bounded(tables):
         assert len(m.words.hashes) <= 80
 
 
+def test_forms_follow_a_vocabulary_that_starts_anew(tables):
+    _, lib = tables
+    m = bpe.Merges(PATH)
+    m.words.most = 50
+    for texts in (["first words here"], [" ".join(f"w{i}x{i * 7}" for i in range(60))], ["some second words"], ["third text", "é 中文"], [" ".join(f"{i}a" for i in range(90))]):
+        slot, doc = m.slots(texts)
+        for i, t in enumerate(texts):
+            mine = slot[doc == i].tolist()
+            assert b"".join(m.plain[j] for j in mine).decode() == t
+            assert b" ".join(m.text[j] for j in mine).decode() == " ".join(map(str, lib.encode_ordinary(t)))
+
+
 def test_round_trip_and_columns(frame, odd, tables):
     _, lib = tables
     docs = frame(odd)
