@@ -47,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("best-fit packing", packed)]

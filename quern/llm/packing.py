@@ -8,6 +8,9 @@ task leaves at most one bin of half or less (best-fit would have joined two), so
 half-empty bins and, for each task, as many of its emptiest other bins as there are half-empty ones in
 all: what climbs is bounded by the number of tasks, not of rows.
 
+With added the file's added tokens, where a text holds them, are their ids, as in the library's encode; else
+they are spelled out, as in the library with encode_special_tokens.
+
 Defined results: null and empty texts are the end id alone; a text of any length is cut into full pieces
 of which the first may be shorter; repeated rows are packed one by one; an empty table gives no pieces.
 """
@@ -58,16 +61,19 @@ class BestFit:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary_json: str, pattern: str):
-    """The byte-level BPE of a tokenizers JSON file, run by tiktoken, which gives the same ids faster."""
+    """The byte-level BPE of a tokenizers JSON file and its added tokens, run by tiktoken, which gives the same ids faster."""
     import tiktoken
 
     with open(vocabulary_json, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    for t in spec["added_tokens"]:
+        if any(t[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {t['content']!r} has flags that are not supported")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -82,10 +88,10 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
-def _local(vocabulary_json: str, pattern: str, capacity: int):
+def _local(vocabulary_json: str, pattern: str, capacity: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_json, pattern)
-        to_array = getattr(enc, "encode_to_numpy", None)
+        to_array, allowed = getattr(enc, "encode_to_numpy", enc.encode), "all" if added else set()
         base, made = TaskContext.get().partitionId() << 32, 0
         bins: dict[int, list[tuple]] = {}
         fit = BestFit(capacity)
@@ -118,7 +124,7 @@ def _local(vocabulary_json: str, pattern: str, capacity: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = to_array(text, disallowed_special=()) if to_array else enc.encode_ordinary(text)
+                ids = to_array(text, allowed_special=allowed, disallowed_special=())
                 ids = np.append(np.asarray(ids, "<u4"), np.uint32(END_ID)).astype("<u4")
                 for i, (start, length) in enumerate(cut(ids, capacity)):
                     waiting.append((doc_id, i, start, length, zlib.crc32(ids[start : start + length].tobytes())))
@@ -151,10 +157,10 @@ def _level(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary_json: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_json: str, pattern: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the place of each piece."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = checkpointed(rows.mapInArrow(_local(vocabulary_json, pattern, capacity), _PIECES_SQL))
+    pieces = checkpointed(rows.mapInArrow(_local(vocabulary_json, pattern, capacity, added), _PIECES_SQL))
     half = capacity // 2
     under = pieces.where((F.col("offset") == 0) & (F.col("fill") <= capacity - NEARLY))
     tasks, small = under.agg(F.max(F.shiftright("bin", 32)), F.count(F.when(F.col("fill") <= half, 1))).first()

@@ -28,7 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,18 @@ def test_tree_merges_underfull_bins(frame):
 def test_halves_meet_across_tasks(frame):
     got = K.pack(frame([(i, " the" * 600) for i in range(24)], partitions=24), JSON, public_tokenizers.PATTERN).collect()
     assert held_together(got) == 8  # three to a sequence, though each task had one
+
+
+def test_added_tokens_of_the_registered_query(spark, tmp_path):
+    from quern.llm.queries import op3_packing
+
+    plain = Tokenizer.from_file(JSON)
+    r = random.Random(5)
+    pool = ["<|endoftext|>", "<|endoftext|", "a", " ", "  ", "\n", "'s", "é", "1", ">"]
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>"), *((i, "".join(r.choice(pool) for _ in range(r.randrange(12)))) for i in range(2, 400))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {p.doc_id: p for p in op3_packing(spark, str(tmp_path)).collect()}
+    assert plain.encode(rows[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, t in rows:
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
