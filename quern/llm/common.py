@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one under /tmp where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a local session, whose
+    executor is the driver itself, gets a temporary one; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -29,8 +38,7 @@ def written(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder that spark.checkpoint.dir names, lineage cut.
 
-    Executors may be lost: the files lie in shared storage. Where the setting is absent, as in
-    tests on one machine, a folder under /tmp/checkpoints serves.
+    Executors may be lost: the files lie in shared storage.
     """
     spark = df.sparkSession
     sc = spark.sparkContext

@@ -2,13 +2,17 @@
 
 Texts become sets of five-word shingles; two texts link when 100 * |A & B| >= 75 * |A | B|. The steps:
 
-1. Fragments of the shingle hash space count, apart from each other, in how many distinct sets each
-   shingle lies. Shingles of a single set only count towards set sizes from then on.
+1. Tasks send each distinct set's shingles once, in batches, to fragments of the shingle hash space. A
+   fragment counts how many entries each shingle has and answers the batches of those that have several; what
+   a set's own copies in other tasks add to the counts is known by its id and taken off, so that shingles of
+   a single distinct set only count towards set sizes from then on.
 2. Frequency octave, then hash, is the global n-gram order. Each set keeps its shared shingles in it; a
    set whose shared shingles are too few for any link is done.
 3. The rarest shingles of the others, so many that linked sets share one, propose candidates. Under each
    shingle the set with the fewest shingles of its own is the hub: every set is first held against the hub
-   with which it shares most, then all pairs that share a shingle and still lie in different components.
+   with which it shares most. Then sets that share a shingle and still lie in different components are
+   compared in blocks of bounded size by size, position and a parity sketch of their shared shingles; only
+   pairs that can still link leave a block.
 4. Overlaps are counted vertically: the global order is cut at pivots, each fragment of a candidate pair is
    intersected by itself, and the partial overlaps are summed per pair.
 
@@ -17,8 +21,12 @@ about n tests, not n squared, and no link between components is lost.
 
 Defined results: null and empty texts, and texts without words, have empty sets and stand alone; texts of
 fewer than five words have their whole word sequence as the only shingle; equal sets, repeated rows among
-them, form one class; null ids get the smallest id of their component, or null. Set ids are 64-bit hashes
-of the sets, shingles 64-bit hashes of which at least 40 and the fragment number are compared.
+them, form one class; null ids get the smallest id of their component, or null; an empty table gives an
+empty table; ties between hubs go by the set id and never change the components; columns of the input other
+than key and text are not read. Set ids and shingles are 64-bit hashes, compared in full.
+
+A task that is run again must make the same batches: docs should come from files, not straight from a shuffle
+whose rows may change places. Entries of a batch that was made otherwise are noticed and raise an error.
 """
 
 from __future__ import annotations
@@ -37,13 +45,14 @@ from quern.llm.common import checkpointed, shuffle_partitions, written
 WORDS = 5
 #: Similarity threshold in percent.
 PERCENT = 75
-#: Fragments per shuffle partition while counting, and vertical fragments while intersecting.
-SPREAD, VERTICAL = 4, 4
-#: Shingles that a task holds before it packs them by fragment.
-TOGETHER = 2_000_000
-#: Rows of 16 bytes, links or shingles, of which so many are handled in one task or broadcast; more are shuffled.
-FEW = 200_000
-_LOW = np.uint64((1 << 40) - 1)
+#: Fragments per shuffle partition while counting, at most so many in all, and vertical fragments while intersecting.
+SPREAD, MOST_FRAGMENTS, VERTICAL = 8, 1 << 16, 4
+#: Shingles, sets and remembered set ids that a task holds at most before it sends a batch or forgets.
+TOGETHER, SETS, REMEMBERED = 1_000_000, 60_000, 500_000
+#: Sets of a shingle that meet in one block, and bits of a set's parity sketch.
+BLOCK, SKETCH = 2048, 1024
+_DOC, _PACK, _SETS = 0, 1, 2
+_OTHERWISE = "a batch was made again with other sets: write docs to files first"
 
 
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,128 +91,169 @@ def set_ids(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(size > 0, ids, np.uint64(0)).view(np.int64)
 
 
-_MOVED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-_MOVED_SQL = "part int, doc_id long, node long, n long, data binary"
+_MOVED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+_MOVED_SQL = "part int, kind int, id long, node long, n long, data binary"
+
 
+def _rows(size: int, **given) -> pa.RecordBatch:
+    made = []
+    for f in _MOVED:
+        x = given.get(f.name)
+        made.append(pa.nulls(size, f.type) if x is None else pa.array(np.full(size, x), f.type) if np.isscalar(x) else pa.array(x, f.type))
+    return pa.RecordBatch.from_arrays(made, schema=_MOVED)
 
-def _rows(part=None, doc_id=None, node=None, n=None, data=None) -> pa.RecordBatch:
-    given = [part, doc_id, node, n, data]
-    size = max(len(x) for x in given if x is not None)
-    return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for x, f in zip(given, _MOVED, strict=True)], schema=_MOVED)
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned numbers, least first, each byte place by itself, which compresses better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-def _pack(nodes: np.ndarray, n: np.ndarray, *more: np.ndarray) -> bytes:
-    return b"".join([np.uint32(len(nodes)).tobytes(), nodes.astype("<i8").tobytes(), n.astype("<u4").tobytes(), *(x.tobytes() for x in more)])
 
+def _number(buf, count: int, width: int, at: int) -> np.ndarray:
+    """The numbers that _planes made."""
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = np.frombuffer(buf, np.uint8, count * width, at).reshape(width, count).T
+    return out.view("<u8").ravel()
 
-def _fragments(fragments: int, k: int):
-    """Rows per document, and per fragment one row that packs the shingles of many sets."""
 
-    def flush(nodes, sizes, owner, h):
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
+    """(kind, value, rows) of each run of rows with the same kind and value of the column by, in their order; rows
+    of documents in runs as they come."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind, key = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("kind", by))
+        key = np.where(kind == _DOC, 0, key)
+        edges = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(kind)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            now = (int(kind[lo]), int(key[lo]))
+            if held and now != at:
+                yield *at, held
+                held = []
+            at = now
+            if at[0] == _DOC:
+                yield *at, [batch.slice(lo, hi - lo)]
+            else:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield *at, held
+
+
+def _batches(bits: int, parts: int, k: int):
+    """Rows per document; per batch of sets its shingles by fragment, and its sets by their ids."""
+
+    def flush(batch: int, nodes, sizes, owner, h) -> Iterator[pa.RecordBatch]:
         nodes, sizes, owner, h = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(owner), np.concatenate(h)
-        frag = ((h >> np.uint64(40)) * np.uint64(fragments)) >> np.uint64(24)
-        order = np.argsort(frag.astype(np.uint32), kind="stable")
-        cut = np.searchsorted(frag[order], np.arange(fragments + 1, dtype=np.uint64))
-        low = (h & _LOW)[order].view(np.uint8).reshape(-1, 8)[:, :5]
-        owner = owner[order]
-        parts, data = [], []
-        for f in np.flatnonzero(np.diff(cut)):
-            own, lows = owner[cut[f] : cut[f + 1]], low[cut[f] : cut[f + 1]]
-            here, idx = np.unique(own, return_inverse=True)
-            parts.append(f)
-            data.append(_pack(nodes[here], sizes[here], idx.astype("<u2"), lows))
-        for lo, hi in slices([len(x) for x in data], 8 << 20):
-            yield _rows(part=parts[lo:hi], data=data[lo:hi])
+        name = int((np.bitwise_xor.reduce(mix(nodes.view(np.uint64))) ^ mix(np.array([batch], np.uint64))[0]).view(np.int64))
+        frag = (h >> np.uint64(64 - bits)).astype(np.uint32)
+        order = np.argsort(frag, kind="stable")  # by owner within a fragment
+        cut = np.searchsorted(frag[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+        h, owner = h[order], owner[order]
+        some = np.flatnonzero(np.diff(cut))
+        for lo, hi in slices([int(cut[f + 1] - cut[f]) * 9 for f in some], 4 << 20):
+            data = [_planes(h[cut[f] : cut[f + 1]], 7) + _planes(owner[cut[f] : cut[f + 1]], 2) for f in some[lo:hi]]
+            yield _rows(hi - lo, part=some[lo:hi], kind=_PACK, id=name, data=data)
+        to = (nodes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        data = [nodes[order[cut[p] : cut[p + 1]]].tobytes() + _planes(order[cut[p] : cut[p + 1]], 2) + _planes(sizes[order[cut[p] : cut[p + 1]]], 4) for p in some]
+        yield _rows(len(some), part=some, kind=_SETS, id=name, data=data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[int] = set()
+        name, rows = TaskContext.get().partitionId() << 32, 0
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        base = waiting = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            held: tuple[list, list, list, list] = ([], [], [], [])
-            base = waiting = 0
             for lo, hi in slices([len(t or "") + 64 for t in texts]):
                 doc, h, size = shingle_sets(texts[lo:hi], k)
                 node = set_ids(doc, h, size)
-                spread = (np.arange(lo, hi) * 7 + len(seen)) % fragments
-                yield _rows(part=spread.astype(np.int32), doc_id=ids.slice(lo, hi - lo).cast(pa.int64()), node=node, n=size)
+                yield _rows(hi - lo, part=((name >> 32) + rows + np.arange(hi - lo)) % (1 << 30), kind=_DOC, id=ids.slice(lo, hi - lo).cast(pa.int64()), node=node, n=size)
+                rows += hi - lo
                 fresh = np.zeros(len(node), bool)
-                for i in np.flatnonzero(size):  # sets that this task has sent before are not sent again
+                for i in np.flatnonzero(size):  # a set that this task has sent is not sent again
                     if node[i] not in seen:
                         seen.add(int(node[i]))
                         fresh[i] = True
+                if len(seen) > REMEMBERED:
+                    seen = set()
                 if not fresh.any():
                     continue
-                if base + fresh.sum() > 60_000 or waiting > TOGETHER:
-                    yield from flush(*held)
-                    held, base, waiting = ([], [], [], []), 0, 0
+                if base and (base + fresh.sum() > SETS or waiting > TOGETHER):
+                    yield from flush(name, *held)
+                    name, held, base, waiting = name + 1, ([], [], [], []), 0, 0
                 place = np.cumsum(fresh) - 1 + base
                 mine = fresh[doc]
                 for part, x in zip(held, (node[fresh], size[fresh], place[doc[mine]], h[mine]), strict=True):
                     part.append(x)
                 base += int(fresh.sum())
                 waiting += int(mine.sum())
-            if base:
-                yield from flush(*held)
+        if base:
+            yield from flush(name, *held)
 
     return run
 
 
-def _shared(buckets: int):
-    """Per fragment: shingles of two sets or more, with their frequency octave, dealt by set."""
+def _counted(bits: int):
+    """Per fragment: to each batch its entries of shingles that have several, with their number. Per set id: to
+    each of its batches how many have it, the first; to the others that another one keeps it (0)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, owners, keys, base = [], [], [], [], 0
-        for batch in batches:
-            data = batch.column(4)
-            plain = data.is_null()
-            if plain.true_count:
-                yield batch.filter(plain)
-            for part, raw in zip(batch.column(0).to_pylist(), data, strict=True):
-                if not raw.is_valid:
-                    continue
+    def shingles(fragment: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, keys, owners = [], [], []
+        for batch in rows:
+            for name, raw in zip(batch.column(2).to_pylist(), batch.column(5), strict=True):
                 buf = raw.as_buffer()
-                count = int(np.frombuffer(buf, "<u4", 1)[0])
-                entries = (len(buf) - 4 - 12 * count) // 7
-                nodes.append(np.frombuffer(buf, "<i8", count, 4))
-                sizes.append(np.frombuffer(buf, "<u4", count, 4 + 8 * count))
-                owners.append(np.frombuffer(buf, "<u2", entries, 4 + 12 * count).astype(np.uint32) + np.uint32(base))
-                wide = np.zeros((entries, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(buf, np.uint8, 5 * entries, 4 + 12 * count + 2 * entries).reshape(-1, 5)
-                keys.append(wide.view("<u8").ravel() | np.uint64(part << 40))
-                base += count
-        if not base:
-            return
-        node, size = np.concatenate(nodes), np.concatenate(sizes)
-        owner, key = np.concatenate(owners), np.concatenate(keys)
-        del nodes, sizes, owners, keys
+                count = len(buf) // 9
+                keys.append(_number(buf, count, 7, 0))
+                owners.append(_number(buf, count, 2, 7 * count).astype(np.uint32))
+                names.append((name, count))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        which = np.repeat(np.arange(len(names), dtype=np.uint32), [c for _, c in names])
+        del keys, owners
         order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        twice = np.zeros(len(key), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        key, owner = key[twice], owner[order[twice]]
-        order = np.lexsort((node[owner], key))
-        key, owner = key[order], owner[order]
-        who = node[owner]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-        key, owner = key[keep], owner[keep]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        df = np.repeat(np.diff(np.concatenate((edge, [len(key)]))), np.diff(np.concatenate((edge, [len(key)]))))
-        key, owner, df = key[df > 1], owner[df > 1], df[df > 1]
-        value = key | (np.log2(df).astype(np.uint64) << np.uint64(58))
-        who = node[owner]
-        bucket = who.view(np.uint64) % np.uint64(buckets)
-        order = np.lexsort((who, bucket))
-        value, owner, bucket = value[order], owner[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        for i in np.flatnonzero(np.diff(cut)):
-            own, vals = owner[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]]
-            w = node[own]
-            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            counts = np.diff(np.concatenate((first, [len(w)]))).astype("<u4")
-            yield _rows(part=[i], data=[_pack(w[first], size[own[first]], counts, vals.astype("<u8"))])
+        sorted_ = key[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        df = np.diff(np.concatenate((first, [len(sorted_)])))
+        times = np.empty(len(key), np.int64)
+        times[order] = np.repeat(df, df)
+        some = np.flatnonzero(times > 1)
+        cut = np.searchsorted(which[some], np.arange(len(names) + 1))
+        full = np.flatnonzero(np.diff(cut))
+        for lo, hi in slices([int(cut[i + 1] - cut[i]) * 13 for i in full], 4 << 20):
+            data = [b"".join((_planes(key[x := some[cut[i] : cut[i + 1]]], 7), _planes(owner[x], 2), _planes(np.minimum(times[x], (1 << 32) - 1), 4))) for i in full[lo:hi]]
+            ids = np.array([names[i][0] for i in full[lo:hi]])
+            yield _rows(hi - lo, part=ids.astype(np.int32) & 0x3FFFFFFF, kind=_PACK, id=ids, node=fragment, data=data)
+
+    def sets(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, nodes, places, sizes = [], [], [], []
+        for batch in rows:
+            for name, raw in zip(batch.column(2).to_pylist(), batch.column(5), strict=True):
+                buf = raw.as_buffer()
+                count = len(buf) // 14
+                nodes.append(np.frombuffer(buf, "<i8", count))
+                places.append(_number(buf, count, 2, 8 * count))
+                sizes.append(_number(buf, count, 4, 10 * count))
+                names.append(np.full(count, name))
+        name, node, place, size = (np.concatenate(x) for x in (names, nodes, places, sizes))
+        order = np.lexsort((place, name, node))
+        first = np.flatnonzero(np.concatenate(([True], node[order][1:] != node[order][:-1])))
+        copies = np.zeros(len(node), np.int64)
+        copies[order[first]] = np.diff(np.concatenate((first, [len(node)])))
+        order = np.argsort(name, kind="stable")
+        edge = np.concatenate((np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1]))), [len(name)]))
+        for lo, hi in slices(np.diff(edge).tolist(), 200_000):
+            picks = [order[edge[i] : edge[i + 1]] for i in range(lo, hi)]
+            ids = np.array([name[x[0]] for x in picks])
+            yield _rows(hi - lo, part=ids.astype(np.int32) & 0x3FFFFFFF, kind=_SETS, id=ids, data=[b"".join((node[x].tobytes(), _planes(place[x], 2), _planes(size[x], 4), _planes(copies[x], 4))) for x in picks])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, part, rows in _groups(batches, "part"):
+            yield from rows if kind == _DOC else shingles(part, rows) if kind == _PACK else sets(rows)
 
     return run
 
@@ -213,56 +263,80 @@ def _need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _ordered(percent: int):
-    """Per bucket of sets: those with shared shingles enough, each with its shared shingles in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, values = [], [], []
-        for batch in batches:
-            data = batch.column(4)
-            plain = data.is_null()
-            if plain.true_count:
-                yield batch.filter(plain)
-            for raw in data:
-                if not raw.is_valid:
-                    continue
+def _ordered(bits: int, percent: int):
+    """Per batch: its sets with shared shingles enough, each with these in order: hashes, then octaves."""
+
+    def lists(packs: list[pa.RecordBatch], sets: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = 1 + max(int(_number(raw.as_buffer(), (c := len(raw.as_buffer()) // 18), 2, 8 * c).max()) for b in sets for raw in b.column(5))
+        node, size, copies = np.zeros(top, np.int64), np.zeros(top, np.int64), np.full(top, -1, np.int64)
+        for raw in (raw for b in sets for raw in b.column(5)):
+            buf = raw.as_buffer()
+            count = len(buf) // 18
+            at = _number(buf, count, 2, 8 * count).astype(np.int64)
+            node[at], size[at], copies[at] = np.frombuffer(buf, "<i8", count), _number(buf, count, 4, 10 * count), _number(buf, count, 4, 14 * count)
+        own, hash_, octave = [], [], []
+        for b in packs:
+            for fragment, raw in zip(b.column(3).to_pylist(), b.column(5), strict=True):
                 buf = raw.as_buffer()
-                count = int(np.frombuffer(buf, "<u4", 1)[0])
-                counts = np.frombuffer(buf, "<u4", count, 4 + 12 * count)
-                nodes.append(np.repeat(np.frombuffer(buf, "<i8", count, 4), counts))
-                sizes.append(np.repeat(np.frombuffer(buf, "<u4", count, 4 + 8 * count), counts))
-                values.append(np.frombuffer(buf, "<u8", -1, 4 + 16 * count))
-        if not nodes:
+                count = len(buf) // 13
+                o, df = _number(buf, count, 2, 7 * count).astype(np.int64), _number(buf, count, 4, 9 * count).astype(np.int64)
+                if o.max() >= top or copies[o].min() < 0:
+                    raise ValueError(_OTHERWISE)
+                shared = (copies[o] > 0) & (df > copies[o])
+                own.append(o[shared])
+                hash_.append(_number(buf, count, 7, 0)[shared] | np.uint64(fragment >> bits - 8 << 56))
+                octave.append(np.log2(df[shared]).astype(np.uint8))
+        if not own:
             return
-        node, size, value = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(values)
-        del nodes, sizes, values
-        order = np.lexsort((value, node))
-        node, size, value = node[order], size[order], value[order]
-        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        count = np.diff(np.concatenate((first, [len(node)])))
-        n = size[first].astype(np.int64)
-        able = np.flatnonzero(count >= _need(n, percent))
-        for lo, hi in slices([int(count[i]) * 8 for i in able], 4 << 20):
+        o, h, oct_ = np.concatenate(own), np.concatenate(hash_), np.concatenate(octave)
+        order = np.lexsort((h, oct_, o))
+        h, oct_ = h[order], oct_[order]
+        count = np.bincount(o, minlength=top)
+        end = np.cumsum(count)
+        able = np.flatnonzero((count > 0) & (count >= _need(size, percent)))
+        for lo, hi in slices([int(count[i]) * 9 for i in able], 4 << 20):
             chosen = able[lo:hi]
-            yield _rows(node=node[first[chosen]], n=n[chosen], data=[value[first[i] : first[i] + count[i]].tobytes() for i in chosen])
+            yield _rows(hi - lo, kind=_SETS, node=node[chosen], n=size[chosen], data=[h[end[i] - count[i] : end[i]].tobytes() + oct_[end[i] - count[i] : end[i]].tobytes() for i in chosen])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: tuple[int, list] | None = None  # entries come before the sets of their batch
+        for kind, name, rows in _groups(batches, "id"):
+            if packs and (kind, name) != (_SETS, packs[0]):
+                raise ValueError(_OTHERWISE)
+            if kind == _DOC:
+                yield from rows
+            elif kind == _PACK:
+                packs = (name, rows)
+            elif packs:
+                yield from lists(packs[1], rows)
+                packs = None
+        if packs:
+            raise ValueError(_OTHERWISE)
 
     return run
 
 
+def _list(raw) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and octaves of a set's shared shingles."""
+    buf = raw.as_buffer()
+    count = len(buf) // 9
+    return np.frombuffer(buf, "<u8", count), np.frombuffer(buf, np.uint8, count, 8 * count)
+
+
 def _prefixes(percent: int):
     """(shingle, set, size, position in the set's global order, shingles it shares with none) of the rarest shared shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            lists = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
+            lists = [_list(x)[0] for x in batch.column(2)]
             count = np.array([len(x) for x in lists], np.int64)
             take = np.maximum(count - _need(n, percent) + 1, 0)
             for lo, hi in slices([int(x) * 32 for x in take], 8 << 20):
                 t = take[lo:hi]
                 offset = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[:m] for x, m in zip(lists[lo:hi], t, strict=True)])), pa.array(np.repeat(node[lo:hi], t)), pa.array(np.repeat(n[lo:hi], t)), pa.array(np.repeat((n - count)[lo:hi], t) + offset), pa.array(np.repeat((n - count)[lo:hi], t))],
+                    [pa.array(np.concatenate([x[:m] for x, m in zip(lists[lo:hi], t, strict=True)]).view(np.int64)), pa.array(np.repeat(node[lo:hi], t)), pa.array(np.repeat(n[lo:hi], t)), pa.array(np.repeat((n - count)[lo:hi], t) + offset), pa.array(np.repeat((n - count)[lo:hi], t))],
                     names=["v", "node", "n", "pos", "own"],
                 )
 
@@ -271,18 +345,23 @@ def _prefixes(percent: int):
 
 def _cut(pivots: list[int]):
     """Vertical fragments (node, f, seg) of each set's ordered shingles."""
-    at = np.array(pivots, np.uint64)
+    at = np.array(pivots, np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, lists = batch.column(0).to_pylist(), [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
-            for lo, hi in slices([x.nbytes for x in lists], 2 << 20):
-                cuts = [(node, f, piece.tobytes()) for node, x in zip(nodes[lo:hi], lists[lo:hi], strict=True) for f, piece in enumerate(np.split(x, np.searchsorted(x, at))) if len(piece)]
+            nodes, lists = batch.column(0).to_pylist(), [_list(x) for x in batch.column(1)]
+            for lo, hi in slices([x.nbytes for x, _ in lists], 2 << 20):
+                cuts = [(node, f, piece.tobytes()) for node, (x, o) in zip(nodes[lo:hi], lists[lo:hi], strict=True) for f, piece in enumerate(np.split(x, np.searchsorted(_coarse(x, o), at))) if len(piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*cuts, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["node", "f", "seg"])
 
     return run
 
 
+def _coarse(h: np.ndarray, octave: np.ndarray) -> np.ndarray:
+    """Octave and top byte of the hash, ascending in the global order."""
+    return octave.astype(np.uint16) << np.uint16(8) | (h >> np.uint64(56)).astype(np.uint16)
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlap of each fragment pair."""
     for batch in batches:
@@ -294,10 +373,87 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["a", "b", "na", "nb", "part"])
 
 
-def _together(links: DataFrame) -> DataFrame:
-    """links, kept; counted, and if they are few in one partition, which spares the rounds over them all shuffles."""
-    kept = checkpointed(links)
-    return kept.coalesce(1) if kept.count() <= FEW else kept
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch) of each set: bit i tells whether an odd number of its shared shingles fall on it."""
+    for batch in batches:
+        made = []
+        for raw in batch.column(1):
+            odd = np.bincount((mix(_list(raw)[0]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+            made.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "sketch"])
+
+
+def _met(percent: int, sketched: bool):
+    """Sets of a block under a shingle, rows sorted by block (v, bx, by); role 0 is held against role 1. With sketches:
+    (a, b, na, nb) of the pairs of different components that can still link. Without: the rows of the sets that have
+    such a partner as far as sizes and positions tell.
+
+    Left sets are those outside the component of the shingle's hub; two of them meet once, by their ids.
+    """
+
+    def pairs(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and y of the pairs that pass."""
+        nx, ny = x["n"][:, None], y["n"][None, :]
+        ok = (x["comp"][:, None] != y["comp"][None, :]) & (~y["left"][None, :] | (x["node"][:, None] > y["node"][None, :]))
+        ok &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        ok &= (100 + percent) * np.minimum(nx - x["pos"][:, None], ny - y["pos"][None, :]) >= percent * (nx + ny)
+        i, j = np.nonzero(ok)
+        if sketched and len(i):
+            keep = []
+            for lo in range(0, len(i), 100_000):
+                p, q = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                apart = np.bitwise_count(x["sketch"][p] ^ y["sketch"][q]).sum(1, dtype=np.int64)
+                most = (x["n"][p] - x["own"][p] + y["n"][q] - y["own"][q] - apart) // 2
+                keep.append((100 + percent) * most >= percent * (x["n"][p] + y["n"][q]))
+            good = np.concatenate(keep)
+            i, j = i[good], j[good]
+        return i, j
+
+    names = ("left", "node", "n", "pos", "own", "comp")
+
+    def block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
+        if sketched:
+            col["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(table), -1)
+        role = table.column("role").to_numpy(zero_copy_only=False)
+        x, y = ({c: a[role == r] for c, a in col.items()} for r in (0, 1))
+        v = table.column("v")[0].as_py()
+        hit_x, hit_y = np.zeros(len(x["n"]), bool), np.zeros(len(y["n"]), bool)
+        for lo in range(0, len(x["n"]), 512):  # a bounded matrix at a time
+            part = {c: a[lo : lo + 512] for c, a in x.items()}
+            i, j = pairs(part, y)
+            if not sketched:
+                hit_x[lo + i] = True
+                hit_y[j] = True
+            elif len(i):
+                flip = part["node"][i] < y["node"][j]
+                a, b = np.where(flip, y["node"][j], part["node"][i]), np.where(flip, part["node"][i], y["node"][j])
+                na, nb = np.where(flip, y["n"][j], part["n"][i]), np.where(flip, part["n"][i], y["n"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+        if not sketched and (hit_x.any() or hit_y.any()):
+            both = [np.concatenate((x[c][hit_x], y[c][hit_y])) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both[0]), v)), *map(pa.array, both)], names=["v", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(k[lo] for k in keys)
+                if at is not None and now != at:
+                    yield from block(held)
+                    held = []
+                at = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from block(held)
+
+    return run
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -311,7 +467,7 @@ def connected(edges: DataFrame) -> DataFrame:
     A hub is joined, never gathered; the loop ends when a round leaves the edges as they were.
     """
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    edges = _together(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = print_of(edges)
     while before[0]:
         both = _each(edges, ("u", "v"), ("v", "u"))
@@ -319,7 +475,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = _together(_each(large.join(least, "u"), ("v", "m"), ("u", "m")).where("u != v").distinct())
+        edges = written(_each(large.join(least, "u"), ("v", "m"), ("u", "m")).where("u != v").distinct())
         after = print_of(edges)
         if tuple(after) == tuple(before):
             break
@@ -329,8 +485,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Join:
-    """documents: doc_id, node, n_shingles; labels: node, comp of sets linked to a smaller set, which names the component;
-    links: a, b, overlap, the tested pairs that link, which span every component."""
+    """documents: doc_id, node, n_shingles; labels: node, comp of sets linked to another set, whose component has
+    the name of one of its sets; links: a, b, overlap, the tested pairs that link, which span every component."""
 
     documents: DataFrame
     labels: DataFrame
@@ -338,15 +494,16 @@ class Join:
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> Join:
+    """Small intermediate tables are written, not only checkpointed, so that Spark knows their sizes when it plans."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    fragments = min(SPREAD * parts, 1 << 17)
+    bits = max(8, (min(SPREAD * parts, MOST_FRAGMENTS) - 1).bit_length())
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spread = rows.mapInArrow(_fragments(fragments, words), _MOVED_SQL).repartition(parts, "part")
-    dealt = spread.mapInArrow(_shared(fragments), _MOVED_SQL).repartition(parts, "part")
-    kept = checkpointed(dealt.mapInArrow(_ordered(percent), _MOVED_SQL))
-    documents = kept.where("data is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
-    sets = kept.where("data is not null").select("node", "n", "data")
+    sent = rows.mapInArrow(_batches(bits, parts, words), _MOVED_SQL).repartition(parts, "part").sortWithinPartitions("kind", "part")
+    dealt = sent.mapInArrow(_counted(bits), _MOVED_SQL).repartition(parts, "part").sortWithinPartitions(F.col("kind") > _DOC, "id", "kind")
+    kept = checkpointed(dealt.mapInArrow(_ordered(bits, percent), _MOVED_SQL))
+    documents = kept.where(F.col("kind") == _DOC).select(F.col("id").alias("doc_id"), "node", F.col("n").alias("n_shingles"))
+    sets = kept.where(F.col("kind") == _SETS).select("node", "n", "data")
 
     pivots = _pivots(sets)
     segs = sets.select("node", "data").mapInArrow(_cut(pivots), "node long, f int, seg binary")
@@ -357,7 +514,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
         two = one.join(segs.select(F.col("node").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
         parts = two.select("a", "b", "na", "nb", "seg_a", "seg_b").mapInArrow(_overlap, "a long, b long, na long, nb long, part long")
         total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-        return checkpointed(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap"))
+        return written(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap"))
 
     similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     # the set with the fewest shingles of its own is the likeliest middle of a group; ties go by the set id
@@ -373,35 +530,44 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     star = star.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.min("n").alias("na"), F.min("nb").alias("nb"), F.min("pos").alias("pa"), F.min("pb").alias("pb"), F.count("*").alias("k"))
     star = star.where(enough(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b", "na", "nb", "k")
     # kept, as ties may fall otherwise when it is made again
-    best = checkpointed(star.groupBy("a").agg(F.max_by("b", "k").alias("b"), F.max_by("na", "k").alias("na"), F.max_by("nb", "k").alias("nb")))
+    best = written(star.groupBy("a").agg(F.max_by("b", "k").alias("b"), F.max_by("na", "k").alias("na"), F.max_by("nb", "k").alias("nb")))
     links = linked(best)
-    labels = _roots(_together(links.select(F.col("a").alias("node"), F.col("b").alias("comp"))))
-    small = labels.count() <= FEW
+    labels = _roots(links.select(F.col("a").alias("node"), F.col("b").alias("comp")))
 
     def label(df: DataFrame, col: str, out: str) -> DataFrame:
-        of = labels.select(F.col("node").alias(col), F.col("comp").alias("_c"))
-        return df.join(F.broadcast(of) if small else of, col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
+        return df.join(labels.select(F.col("node").alias(col), F.col("comp").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
 
     placed = label(ranked, "node", "comp")
     # the hub's component is most often the largest under a shingle; any would do
-    mixed = placed.groupBy("v").agg(F.min_by("comp", "rank").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "most")
-    mixed = written(mixed)
-    open_ = checkpointed(placed.drop("rank", "own").join(F.broadcast(mixed) if mixed.count() <= FEW else mixed, "v"))
-    x = open_.where("comp != most").select("v", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "comp")), F.col("most"))
-    y = open_.select("v", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "comp")))
-    cross = x.join(y, "v").where(F.col("comp_x") != F.col("comp_y")).where((F.col("comp_y") == F.col("most")) | (F.col("node_x") > F.col("node_y")))
-    cross = cross.where(similar(F.col("n_x"), F.col("n_y"))).where(enough(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")))
-    bigger = F.col("node_x") > F.col("node_y")
-    pair = cross.select(*(F.when(bigger, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(o) for c, p, q, o in (("node", "x", "y", "a"), ("node", "y", "x", "b"), ("n", "x", "y", "na"), ("n", "y", "x", "nb"))))
+    mixed = written(placed.groupBy("v").agg(F.min_by("comp", "rank").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v", "most"))
+    open_ = placed.join(mixed, "v").select("v", (F.col("comp") != F.col("most")).alias("left"), "node", "n", "pos", "own", "comp")
+
+    def met(rows: DataFrame, sketched: bool, schema: str) -> DataFrame:
+        """Rows dealt into blocks: those outside the hub's component against all, each side in shares of BLOCK."""
+        rows = checkpointed(rows)
+        shares = written(rows.groupBy("v").agg(F.ceil(F.sum(F.col("left").cast("int")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny")))
+        share = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        block = lambda role, bx, by: F.struct(F.lit(role).alias("role"), bx.alias("bx"), by.alias("by"))
+        first = F.when(F.col("left"), F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda j: block(0, share("nx"), j)))
+        second = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda i: block(1, i, share("ny")))
+        both = F.concat(F.coalesce(first, F.array().cast("array<struct<role: int, bx: int, by: int>>")), second)
+        more = ["sketch"] if sketched else []
+        dealt = rows.join(shares, "v").select("v", F.inline(both), "left", "node", "n", "pos", "own", "comp", *more)
+        dealt = dealt.select("v", "bx", "by", "role", "left", "node", "n", "pos", "own", "comp", *more)
+        return dealt.repartition(parts, "v", "bx", "by").sortWithinPartitions("v", "bx", "by").mapInArrow(_met(percent, sketched), schema)
+
+    able = written(met(open_, False, "v long, left boolean, node long, n long, pos long, own long, comp long").distinct())
+    sketches = sets.select("node", "data").mapInArrow(_sketches, "node long, sketch binary")
+    pair = met(able.join(sketches, "node"), True, "a long, b long, na long, nb long")
     tested = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = checkpointed(pair.distinct().join(tested, ["a", "b"], "left_anti"))
+    pairs = written(pair.distinct().join(tested, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return Join(documents, labels, links)
     more = linked(pairs)
     bridges = label(label(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = checkpointed(connected(bridges))
+    merged = written(connected(bridges))
     moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
-    return Join(documents, checkpointed(moved.union(merged.select("node", "comp"))), links.union(more))
+    return Join(documents, written(moved.union(merged.select("node", "comp"))), links.union(more))
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -412,17 +578,17 @@ def _roots(parents: DataFrame) -> DataFrame:
         up = out.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
         if out.join(up, "comp", "left_semi").isEmpty():
             return out
-        out = checkpointed(out.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")))
+        out = written(out.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")))
 
 
 def _pivots(sets: DataFrame) -> list[int]:
-    """Cuts of the global order that share the entries of all sets evenly, from counts by octave and top bits."""
+    """Cuts of the global order that share the entries of all sets evenly, from counts by octave and top byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 12, np.int64)
+        total = np.zeros(1 << 14, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.bincount((np.frombuffer(raw.as_buffer(), "<u8") >> np.uint64(52)).astype(np.int64), minlength=1 << 12)
+                total += np.bincount(_coarse(*_list(raw)), minlength=1 << 14)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["top", "c"])
 
@@ -430,7 +596,7 @@ def _pivots(sets: DataFrame) -> list[int]:
     if not counts:
         return []
     running = np.cumsum([r["c"] for r in counts])
-    return [int(counts[int(np.searchsorted(running, running[-1] * i / VERTICAL))]["top"]) + 1 << 52 for i in range(1, VERTICAL)]
+    return [int(counts[int(np.searchsorted(running, running[-1] * i / VERTICAL))]["top"]) + 1 for i in range(1, VERTICAL)]
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -74,3 +74,51 @@ def test_links_span_components(frame):
     rows = [(i, " ".join(f"w{j}" for j in range(30 + i % 2))) for i in range(6)]
     found = J.join(frame(rows))
     assert found.links.count() == 1 and found.labels.count() == 1 and found.documents.count() == 6
+
+
+def test_templated_texts_and_copies_over_many_tasks(frame):
+    r = random.Random(5)
+    parts = [" ".join(f"t{p}_{i}" for i in range(9)) for p in range(40)]
+    rows = [(i, " ".join(parts[p] for p in sorted(r.sample(range(40), 20)))) for i in range(90)]  # much shared, little linked
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(60)]  # copies that meet in no task
+    rows += [(2000 + i, f"{rows[3][1]} end{i}") for i in range(40)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.components(frame(rows, 16)).collect()]
+    assert sorted(got) == sorted(plain(rows))
+
+
+def test_blocks_of_two(frame, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 2)
+    test_chains_and_groups(frame)
+
+
+def test_small_batches(frame, monkeypatch):
+    for name in ("TOGETHER", "SETS", "REMEMBERED"):
+        monkeypatch.setattr(J, name, 3)
+    test_chains_and_groups(frame)
+    test_templated_texts_and_copies_over_many_tasks(frame)
+
+
+def test_no_pairs_leave_a_block_of_unlike_sets(frame):
+    r = random.Random(5)
+    parts = [" ".join(f"t{p}_{i}" for i in range(9)) for p in range(60)]
+    rows = [(i, " ".join(parts[p] for p in sorted(r.sample(range(60), 30)))) for i in range(120)]
+    made = []
+    inner = J._met
+
+    def counted(percent, sketched):
+        run = inner(percent, sketched)
+
+        def counting(batches):
+            for b in run(batches):
+                assert not sketched, "a pair that can't link"
+                yield b
+
+        made.append(sketched)
+        return counting
+
+    J._met = counted
+    try:
+        assert J.components(frame(rows)).where("doc_id != component_id").count() == 0
+    finally:
+        J._met = inner
+    assert made == [False, True]
