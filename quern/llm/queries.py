@@ -58,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.fertility(docs, vocabulary("piece_bpe_32k.model")).drop("text", "lang")
+    return quality_rules.fertility(docs, vocabulary("piece_bpe_32k.model"), ranks_path=vocabulary("byte_bpe_multi_50k.tiktoken")).drop("text", "lang")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -47,8 +47,11 @@ def test_fertility_by_library(frame):
     assert abs(r.token_entropy + sum(x / len(ids) * math.log2(x / len(ids)) for x in c)) < 1e-9
 
 
+PROSE = "The committee considered several proposals before the meeting ended and asked that every member write down which of them seemed most likely to help people who live near the river, where last spring the water rose higher than anyone could remember and many houses had to be left for some days until roads were open again to all."
+
+
 def test_verdicts(frame):
-    prose = "The committee considered several proposals before the meeting ended and asked that every member write down which of them seemed most likely to help people who live near the river, where last spring the water rose higher than anyone could remember and many houses had to be left for some days until roads were open again to all."
+    prose = PROSE
     noise = " ".join(chr(0x1F600 + i) for i in range(60))
     junk = " ".join(w + "###" for w in prose.split())
     kept = {r.doc_id: r.kept for r in Q.fertility(frame([(1, prose), (2, noise), (3, junk)]), MODEL).collect()}
@@ -57,3 +60,46 @@ def test_verdicts(frame):
 
 def test_empty_table(frame):
     assert Q.fertility(frame([]), MODEL).count() == 0
+
+
+def test_bands_alone_tell_junk(spark):
+    """Of the labelled texts that pass the base rules the bands reject nearly all bad ones and keep nearly all good ones."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+    got = [r for r in Q.fertility(docs, MODEL).select("quality", "base_failed", "kept").collect() if not r.base_failed]
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert len(bad) > 20 and sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+def test_verdict_by_a_plain_version(frame):
+    import base64
+    import math
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    tokens = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(7)
+    words = "the river and morning people of window garden letter silver market winter committee proposal quarter nothing between über Straße 中文 данные ### *** $$$ %% | xqzzk 😀".split()
+    rows = []
+    for i in range(60):
+        some = r.sample(words, r.randrange(2, len(words)))
+        rows.append((i, " ".join(r.choice(some) + r.choice(["", str(r.randrange(99))]) for _ in range(r.randrange(40, 400)))))
+    rows += [(100 + i, " ".join(r.sample(PROSE.split(), 52) + r.choices(words, k=i))) for i in range(0, 60, 4)]
+    got = {x.doc_id: x for x in Q.fertility(frame(rows), MODEL).collect()}
+    seen = set()
+    for i, t in rows:
+        w = t.split()
+        ids = [x for y in w for x in tokens.encode_ordinary(" " + y)]
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+        p = [x for y in w for x in pieces.encode(y)]
+        band, x = Q.BANDS["en"], min(math.log2(len(ids)), 11.5)
+        a, b, c = band.curve
+        ok = band.chars_per_token[0] <= sum(map(len, w)) / len(ids) <= band.chars_per_token[1] and sum(map(pieces.is_byte, p)) / len(p) <= band.max_byte_share and (len(ids) < band.min_tokens or a + b * x + c * x * x - band.deficit <= entropy <= band.max_entropy)
+        assert abs(got[i].multi_entropy - entropy) < 1e-9 and got[i].kept == (ok and not got[i].base_failed)
+        seen.add((ok, got[i].base_failed))
+    assert len(seen) >= 3
