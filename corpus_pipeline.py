@@ -20,7 +20,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.fertility(docs, vocabulary("piece_bpe_32k.model")).where("kept").select(*docs.columns)
+    return quality_rules.fertility(docs, vocabulary("piece_bpe_32k.model"), ranks_path=vocabulary("byte_bpe_multi_50k.tiktoken")).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
