@@ -1,18 +1,21 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives (label 1) and unlabelled web text train a logistic scorer that minimises the non-negative
-unbiased risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-)). The class prior pi comes from the same two samples:
-of the thresholds on the scores of a first fit, that whose share of unlabelled over share of positives above
-it is least, with a margin for sampling, bounds it. Label 0 is never learnt from.
+unbiased risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-)). The class prior pi comes from all trusted and all
+unlabelled rows outside the held-out fold: first fits, each without one part of the ids, score the rows of that part
+in tasks, and histograms of the scores are added up; of the thresholds, that whose share of unlabelled over share
+of positives above it is least, with a margin for sampling, bounds the prior. Label 0 is never learnt from.
 
 Features are shares and ratios of a text's characters, words and lines, each cut into bins at quantiles of
 the sample, so that the scorer is additive and monotone in none of them.
 
-At most MOST positives and MOST unlabelled documents are learnt from, those with the smallest hashes of
-their ids outside the held-out fold; every text is scored as a whole.
+The weights are learnt from at most MOST positives and MOST unlabelled documents, those with the smallest hashes of
+their ids outside the held-out fold, one text for each id; every text is scored as a whole.
 
 Defined results: null and empty texts have all features zero and are scored as such; repeated rows score
-alike; without positives or unlabelled text every score is 0.5; an empty table gives an empty table.
+alike, and of several texts of one id the smallest is learnt from; equal hashes go by the id; without positives or
+unlabelled text every score is 0.5; an empty table gives an empty table; other columns of the input than doc_id
+and text are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import WHITE, TextBatch, combine, repeated, slices
-from quern.llm.labelled import held_out, learnable, sample_ids
+from quern.llm.common import checkpointed
+from quern.llm.labelled import held_out, learnable, sampled
 
 MOST, BINS, ROUNDS, STEP, PENALTY = 20_000, 12, 300, 0.1, 1e-3
 THRESHOLD = 0.3
@@ -34,6 +38,8 @@ THRESHOLD = 0.3
 #: prior's estimate fails. The estimate errs upwards, as unlabelled and positive texts overlap, and too high a
 #: prior leaves the bracket of the risk empty: half the margin and SLACK are taken off.
 FIRST_PRIOR, PARTS, RISK, SLACK = 0.5, 3, 0.1, 0.03
+#: Bins of the histograms of first scores.
+HISTOGRAM = 4096
 
 
 def _among(chars: str) -> np.ndarray:
@@ -113,19 +119,31 @@ def _descend(pos: np.ndarray, unl: np.ndarray, size: int, prior: float) -> tuple
     return w, bias
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Least ratio of unlabelled to positive shares above a threshold, with Hoeffding-style margins."""
-    cuts = np.unique(pos)
-    p = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
-    u = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
-    margin = np.sqrt(np.log(4 / RISK) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+def prior_of(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Least ratio of unlabelled to positive shares above a threshold, with Hoeffding-style margins, from the numbers
+    of positive and unlabelled scores in ascending bins."""
+    n_pos, n_unl = pos.sum(), unl.sum()
+    above = lambda x: np.cumsum(x[::-1])[::-1] / x.sum()
+    p, u = above(pos)[pos > 0], above(unl)[pos > 0]
+    margin = np.sqrt(np.log(4 / RISK) / 2) * (1 / np.sqrt(n_pos) + 1 / np.sqrt(n_unl))
     best = int(np.argmin((u + margin) / np.maximum(p, 1e-9)))
     return float(np.clip(u[best] / max(p[best], 1e-9) - margin / 2 - SLACK, 0.05, 0.99))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
-    if not len(pos) or not len(unl):
-        return Model([np.zeros(BINS)] * len(NAMES), np.zeros(len(NAMES) * (BINS + 1)), 0.0, 0.5)
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The prior from two samples of scores."""
+    cuts = np.unique(np.concatenate((pos, unl)))
+    return prior_of(*(np.bincount(np.searchsorted(cuts, x), minlength=len(cuts)) for x in (pos, unl)))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of the scores before the sigmoid, with logistic loss."""
+    lost = lambda z: float(np.logaddexp(0, -z).mean())
+    return prior * lost(positive) + max(0.0, lost(-unlabelled) - prior * lost(-positive))
+
+
+def first_fits(pos: np.ndarray, unl: np.ndarray, pos_part: np.ndarray, unl_part: np.ndarray) -> list[Model]:
+    """A model for each part of the ids, fitted without it; their bins are those of both samples."""
     both = np.vstack([pos, unl])
     # quantiles crowd where most texts are alike; equal steps of the range keep the tails apart
     edges = []
@@ -133,18 +151,21 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
         x = both[:, j]
         inner = np.concatenate((np.quantile(x, np.linspace(0, 1, BINS // 2 + 2)[1:-1]), np.quantile(pos[:, j], (0.001, 0.005, 0.99, 0.995, 0.999, 1))))
         edges.append(np.sort(inner[:BINS]))
-    model = Model(edges, np.zeros(len(NAMES) * (BINS + 1)), 0.0, FIRST_PRIOR)
-    p, u = model.columns(pos), model.columns(unl)
-    # scores of texts that the first fit has not seen, or the positives would stand out too well
-    zp, zu = np.zeros(len(p)), np.zeros(len(u))
+    size = len(NAMES) * (BINS + 1)
+    plain = Model(edges, np.zeros(size), 0.0, FIRST_PRIOR)
+    p, u = plain.columns(pos), plain.columns(unl)
+    out = []
     for k in range(PARTS):
-        ip, iu = np.arange(len(p)) % PARTS == k, np.arange(len(u)) % PARTS == k
-        if (~ip).any() and (~iu).any():
-            w, b = _descend(p[~ip], u[~iu], len(model.weight), FIRST_PRIOR)
-            zp[ip], zu[iu] = w[p[ip]].sum(1) + b, w[u[iu]].sum(1) + b
-    prior = estimate_prior(zp, zu)
-    w, b = _descend(p, u, len(model.weight), prior)
-    return Model(edges, w, b, prior)
+        ip, iu = pos_part != k, unl_part != k
+        # too few rows to leave any out: all of them
+        ip, iu = (x if x.any() else np.ones(len(x), bool) for x in (ip, iu))
+        out.append(Model(edges, *_descend(p[ip], u[iu], size, FIRST_PRIOR), FIRST_PRIOR))
+    return out
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, edges: list[np.ndarray], prior: float) -> Model:
+    model = Model(edges, np.zeros(len(NAMES) * (BINS + 1)), 0.0, prior)
+    return Model(edges, *_descend(model.columns(pos), model.columns(unl), len(model.weight), prior), prior)
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -162,15 +183,50 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def _part():
+    return F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(PARTS)).cast("int")
+
+
+def histograms(docs: DataFrame, sides: DataFrame, models: list[Model], text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of positive and unlabelled rows of docs by bins of their first scores; sides: doc_id, _s (1 positive,
+    0 neither). Rows outside the held-out fold that sides does not name are unlabelled."""
+    rows = docs.where(~held_out()).select("doc_id", F.col(text).cast("string").alias("_text"), _part().alias("_part"))
+    scored = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, part = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for lo, hi in slices([len(t or "") + 64 for t in texts]):
+                x = features(texts[lo:hi])
+                each = np.stack([m.score(x) for m in scored.value])[part[lo:hi], np.arange(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.minimum(each * HISTOGRAM, HISTOGRAM - 1).astype(np.int32))], names=["doc_id", "bin"])
+
+    binned = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bin int")
+    counted = binned.join(sides, "doc_id", "left").groupBy(F.coalesce("_s", F.lit(-1)).alias("side"), "bin").agg(F.count("*").alias("c")).collect()
+    out = np.zeros((2, HISTOGRAM), np.int64)
+    for r in counted:
+        if r["side"]:
+            out[0 if r["side"] == 1 else 1, r["bin"]] += r["c"]
+    return out[0], out[1]
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", most: int = MOST) -> Model:
-    """docs needs doc_id and text; what reaches the driver is bounded by most."""
-    trusted = sample_ids(learnable(labels, label).where("label = 1"), most, 6)
-    marked = labels.where(F.col(label).isNotNull()).select("doc_id").distinct()
+    """docs needs doc_id and text; what reaches the driver is bounded by most and HISTOGRAM."""
+    good = learnable(labels, label).where("label = 1").select("doc_id")
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     web = docs.where(~held_out()).select("doc_id").distinct().join(marked, "doc_id", "left_anti")
-    chosen = trusted.select("doc_id", F.lit(1).alias("_s")).union(sample_ids(web, most, 66).select("doc_id", F.lit(0)))
-    rows = measured(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id"), ["_s"]).collect()
-    side = [np.array([r["features"] for r in rows if r["_s"] == s]) for s in (1, 0)]
-    return fit(*side)
+    trusted = sampled(good, most, 6)
+    chosen = checkpointed(trusted.select("doc_id", F.lit(1).alias("_s")).union(sampled(web, most, 66).select("doc_id", F.lit(0))))
+    texts = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_s").alias("_s"))
+    rows = measured(texts.withColumn("_part", _part()), ["_s", "_part"]).collect()
+    side = {s: [r for r in rows if r["_s"] == s] for s in (1, 0)}
+    if not side[1] or not side[0]:
+        return Model([np.zeros(BINS)] * len(NAMES), np.zeros(len(NAMES) * (BINS + 1)), 0.0, 0.5)
+    (pos, unl), (pos_part, unl_part) = ([np.array([r[c] for r in side[s]]) for s in (1, 0)] for c in ("features", "_part"))
+    first = first_fits(pos, unl, pos_part, unl_part)
+    sides = marked.join(good.withColumn("_g", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("_g", F.lit(0)).alias("_s"))
+    positive, unlabelled = histograms(docs, sides, first, text)
+    return fit(pos, unl, first[0].edges, prior_of(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
