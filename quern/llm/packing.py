@@ -2,17 +2,19 @@
 
 Every task tokenises its documents, cuts the long ones and packs the pieces best-fit, largest first, a
 bounded window at a time; nearly full bins leave at once, the others stay open until the task ends. The
-underfull bins then climb a tree: at each level the bins of neighbouring tasks meet as items of their
+underfull bins then climb a tree: at each level the bins of FAN_IN neighbours meet as items of their
 fill and are packed best-fit again, until the root. Two bins over half full never fit together, and a
-task leaves at most one bin of half or less (best-fit would have joined two), so a level only needs the
-half-empty bins and, for each task, as many of its emptiest other bins as there are half-empty ones in
-all: what climbs is bounded by the number of tasks, not of rows.
+node leaves at most one bin of half or less (best-fit would have joined two), so its neighbours bring
+FAN_IN - 1 of these at most, and it sends that one and its FAN_IN - 1 emptiest others; the rest leave the tree.
+No group of any level has more than FAN_IN squared rows, however many tasks and documents there are.
 
 With added the file's added tokens, where a text holds them, are their ids, as in the library's encode; else
 they are spelled out, as in the library with encode_special_tokens.
 
 Defined results: null and empty texts are the end id alone; a text of any length is cut into full pieces
-of which the first may be shorter; repeated rows are packed one by one; an empty table gives no pieces.
+of which the first may be shorter; repeated rows are packed one by one; pieces of equal length are packed in
+the order of the rows, bins of equal fill by their numbers; an empty table gives no pieces; other columns of the
+input than key and text are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed
+from quern.llm.common import checkpointed, written
 
 CAPACITY, END_ID = 2048, 0
 #: Bins with less room than this leave at once; pieces that a task packs together; tasks that meet in a node.
@@ -137,14 +139,17 @@ def _local(vocabulary_json: str, pattern: str, capacity: int, added: bool):
     return run
 
 
+_TREE_SQL = "node long, bin long, fill long, moved array<struct<bin: long, shift: long>>, up boolean"
+
+
 def _level(capacity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Bins of a node as items: each goes into the fullest bin that takes it whole."""
+        """Bins of a node as items: each goes into the fullest bin that takes it whole. The emptiest climb on."""
         fit, out = BestFit(capacity), []
         for row in group.sort_values(["fill", "bin"], ascending=[False, True]).itertuples(index=False):
             got = fit.take(row.fill)
             if got is None:
-                out.append([row.node, row.bin, row.fill, list(row.moved)])
+                out.append([row.node, row.bin, row.fill, list(row.moved), True])
                 fit.open(len(out) - 1, capacity - row.fill)
                 continue
             i, room = got
@@ -152,7 +157,10 @@ def _level(capacity: int):
             target[3] = [*target[3], {"bin": row.bin, "shift": own}, *({"bin": m["bin"], "shift": m["shift"] + own} for m in row.moved)]
             target[2] = own + row.fill
             fit.open(i, room - row.fill)
-        return pd.DataFrame(out, columns=["node", "bin", "fill", "moved"])
+        out.sort(key=lambda r: (r[2], r[1]))
+        for i, r in enumerate(out):
+            r[4] = i < FAN_IN and r[2] <= capacity - NEARLY
+        return pd.DataFrame(out, columns=["node", "bin", "fill", "moved", "up"])
 
     return run
 
@@ -161,25 +169,20 @@ def pack(docs: DataFrame, vocabulary_json: str, pattern: str, text: str = "text"
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the place of each piece."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     pieces = checkpointed(rows.mapInArrow(_local(vocabulary_json, pattern, capacity, added), _PIECES_SQL))
-    half = capacity // 2
     under = pieces.where((F.col("offset") == 0) & (F.col("fill") <= capacity - NEARLY))
-    tasks, small = under.agg(F.max(F.shiftright("bin", 32)), F.count(F.when(F.col("fill") <= half, 1))).first()
-    moved = None
-    if small and small > 1:
-        # of the bins over half full a node needs no more than there are half-empty ones
-        from pyspark.sql import Window
-
-        task = F.shiftright("bin", 32).alias("node")
-        ranked = under.select(task, "bin", "fill").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("fill", "bin")))
-        schema = "node long, bin long, fill long, moved array<struct<bin: long, shift: long>>"
-        climbing = ranked.where(F.col("place") <= small + 1).select("node", "bin", "fill", F.array().cast("array<struct<bin: long, shift: long>>").alias("moved"))
-        top = tasks + 1
-        while top > 1:
-            top = -(-top // FAN_IN)
-            up = climbing.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
-            climbing = checkpointed(up.groupBy("node").applyInPandas(_level(capacity), schema))
-        # one row for each half-empty bin at most: fewer than there were tasks
-        moved = F.broadcast(climbing.select(F.col("bin").alias("target"), F.explode("moved").alias("m")).select("target", F.col("m.bin").alias("bin"), F.col("m.shift").alias("shift")))
-    out = pieces if moved is None else pieces.join(moved, "bin", "left")
-    place = (F.col("bin"), F.col("offset")) if moved is None else (F.coalesce("target", "bin"), F.col("offset") + F.coalesce("shift", F.lit(0)))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", place[0].alias("sequence_id"), place[1].cast("long").alias("offset"))
+    top = under.agg(F.max(F.shiftright("bin", 32))).first()[0]
+    place = F.row_number().over(Window.partitionBy("node").orderBy("fill", "bin"))
+    ranked = under.select(F.shiftright("bin", 32).alias("node"), "bin", "fill").withColumn("place", place).where(F.col("place") <= FAN_IN)
+    climbing = ranked.select("node", "bin", "fill", F.array().cast("array<struct<bin: long, shift: long>>").alias("moved"))
+    settled = []
+    while top:  # node numbers from 0 to top
+        top //= FAN_IN
+        met = checkpointed(climbing.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("node").applyInPandas(_level(capacity), _TREE_SQL))
+        settled.append(met.where(~F.col("up") if top else F.lit(True)).where(F.size("moved") > 0).select(F.col("bin").alias("target"), F.inline("moved")))
+        climbing = met.where("up").drop("up")
+    if not settled:
+        return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    # written, so that Spark knows the size when it plans the join: a bin of every task at most has moved
+    moved = written(reduce(DataFrame.union, settled).select("target", "bin", "shift"))
+    out = pieces.join(moved, "bin", "left")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("target", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset"))

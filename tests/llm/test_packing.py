@@ -78,3 +78,35 @@ def test_added_tokens_of_the_registered_query(spark, tmp_path):
     for i, t in rows:
         ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
         assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
+def test_groups_of_the_tree_are_bounded(frame, monkeypatch):
+    """Many tasks with many underfull bins each: no node sees more than FAN_IN squared, and little room is lost."""
+    import pandas as pd
+
+    inner, most = K._level, K.FAN_IN**2
+
+    def level(capacity):
+        run = inner(capacity)
+
+        def counted(group: pd.DataFrame) -> pd.DataFrame:
+            assert len(group) <= most
+            return run(group)
+
+        return counted
+
+    monkeypatch.setattr(K, "_level", level)
+    r = random.Random(3)
+    rows = [(i, " the" * r.choice([r.randrange(1100, 1900), r.randrange(20, 600)])) for i in range(900)]
+    got = K.pack(frame(rows, partitions=70), JSON, public_tokenizers.PATTERN).collect()
+    assert len(got) == 900
+    apart = len({x.sequence_id for x in got})
+    assert held_together(got) == apart
+    half = sum(sum(x.length for x in got if x.sequence_id == s) <= K.CAPACITY // 2 for s in {x.sequence_id for x in got})
+    assert half <= 1
+
+
+def test_sequences_against_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
+    got = K.pack(docs, JSON, public_tokenizers.PATTERN, added=True).collect()
+    assert held_together(got) <= 1.002 * sum(x.length for x in got) / K.CAPACITY
