@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import TextBatch, combine, mix, slices
-from quern.llm.common import checkpointed, shuffle_partitions, written
+from quern.llm.common import checkpointed, row_hash, shuffle_partitions, written
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -607,3 +607,22 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     least = written(placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     some = placed.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
     return some.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, one for each component of linked texts: that of the smallest key (null last), of the smallest
+    hash where a key has several texts. Rows that repeat key and text are one; empty sets all stay."""
+    names = {"a": "_a", "b": "_b"}
+    while set(names.values()) & set(docs.columns):
+        names = {k: f"_{v}" for k, v in names.items()}
+    a, b = names.values()
+    first, second = row_hash(key, text)
+    keyed = docs.withColumns({a: first, b: second})
+    found = join(keyed, text, a, words, percent)
+    rows = keyed.select(F.col(a).alias("doc_id"), F.col(b).alias("_other"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key")).alias("_at")).distinct()
+    # copies meet in these aggregates, combined in their tasks before, and not in the joins
+    placed = found.documents.distinct().join(found.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = rows.join(placed, "doc_id")
+    best = known.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("_at", "doc_id", "_other")).alias("best")).select("best.doc_id", "best._other")
+    chosen = best.union(known.where("n_shingles = 0").select("doc_id", "_other")).select(F.col("doc_id").alias(a), F.col("_other").alias(b))
+    return keyed.dropDuplicates([a, b]).join(chosen, [a, b], "left_semi").select(*docs.columns)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quern.llm import jaccard_join as J
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +124,12 @@ def test_no_pairs_leave_a_block_of_unlike_sets(frame):
     finally:
         J._met = inner
     assert made == [False, True]
+
+
+def test_one_of_each(spark, frame, odd):
+    near = [(70, "a b c d e f g h i j k l m n o p"), (71, "a b c d e f g h i j k l m n o q"), (None, "a b c d e f g h i j k l m n o r"), (71, "other words under the id seventy one"), (9, "one two"), (72, "One two")]
+    docs = frame([*odd, *near]).withColumns({"_a": F.lit(1), "node": F.lit(2)})
+    got = sorted(((r.doc_id, r.text) for r in J.one_of_each(docs).collect()), key=repr)
+    want = {x for x in [*odd, *near] if x not in ((6, odd[6][1]), (71, near[1][1]), (None, near[2][1]), (72, "One two"))}
+    assert got == sorted(want, key=repr)
+    assert J.one_of_each(docs).columns == docs.columns and J.one_of_each(docs.limit(0)).count() == 0
