@@ -12,14 +12,14 @@ from __future__ import annotations
 import re
 import uuid
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.expressions import Alias, ColumnRef, Condition, Expression, Order, StatementError, and_, lift
+from quern.operators.expressions import Alias, ColumnRef, ColumnValue, Condition, Expression, Order, StatementError, and_, lift
 from quern.operators.tables import Relation, Source, Table
 
 _COMMENT = re.compile(r"^[\w .?]*$")
@@ -278,46 +278,88 @@ def insert_ignore(target: DataFrame, given: DataFrame, key: Sequence[str], order
     return target.unionByName(once.join(target.select(*key), list(key), "left_anti").select(*target.columns))
 
 
-def upsert(target: DataFrame, given: DataFrame, key: Sequence[str], updates: dict[str, Expression | F.Column], order: str = "_seq") -> DataFrame:
-    """target after given was inserted in order; a row whose key is there already updates it instead.
+#: Incoming rows of one key that an upsert folds together before it joins them to the table.
+FOLDED = 1000
 
-    updates may refer to the stored row by plain names and to the incoming one by ColumnValue. Several incoming
-    rows of one key are applied one after another: as many joins as the busiest key has rows.
-    """
-    ranked = given.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
-    rounds = ranked.agg(F.max("_nth")).first()[0] or 0
-    out = target
-    for n in range(1, rounds + 1):
-        now = ranked.where(F.col("_nth") == n).drop("_nth", order).withColumn("_in", F.lit(True))
-        held = out.withColumn("_old", F.lit(True)).alias("_stored")
-        joined = held.join(now.alias("_incoming"), [F.col(f"_stored.{k}") == F.col(f"_incoming.{k}") for k in key], "full")
-        both = F.col("_old").isNotNull() & F.col("_in").isNotNull()
-        columns = []
-        for c in target.columns:
-            kept = F.when(F.col("_old").isNull(), F.col(f"_incoming.{c}")).otherwise(F.col(f"_stored.{c}"))
-            if c in updates:
-                e = updates[c]
-                value = _stored(e).column() if isinstance(e, Expression) else e
-                kept = F.when(both, value.cast(target.schema[c].dataType)).otherwise(kept)
-            columns.append(kept.alias(c))
-        out = joined.select(*columns)
-    return out
 
+class _Bound(Expression):
+    def __init__(self, c: F.Column):
+        self.c = c
+
+    def column(self) -> F.Column:
+        return self.c
 
-def _stored(e: Expression) -> Expression:
-    """e with table columns bound to the stored side of an upsert."""
-    if isinstance(e, ColumnRef):
-        return ColumnRef("_stored", e.name)
+
+def _walk(e: Any, put: Callable[[Expression], Expression | None]) -> Any:
+    """e with the expressions in it for which put has one replaced."""
+    if isinstance(e, list | tuple):
+        return type(e)(_walk(x, put) for x in e)
+    if not isinstance(e, Expression):
+        return e
+    if (new := put(e)) is not None:
+        return new
     out = object.__new__(type(e))
     for k, v in vars(e).items():
-        if isinstance(v, Expression) and k != "ref":
-            v = _stored(v)
-        elif isinstance(v, list):
-            v = [_stored(x) if isinstance(x, Expression) else x for x in v]
-        object.__setattr__(out, k, v)
+        object.__setattr__(out, k, _walk(v, put))
     return out
 
 
+def _reads_stored(e: Expression) -> bool:
+    found = []
+
+    def put(x: Expression) -> Expression | None:
+        if isinstance(x, ColumnRef):
+            found.append(x)
+        return x if isinstance(x, ColumnRef | ColumnValue) else None
+
+    _walk(e, put)
+    return bool(found)
+
+
+def _bound(e: Expression, stored: F.Column, incoming: F.Column) -> F.Column:
+    """e with table columns taken from the stored row and ColumnValue from the incoming one, both structs."""
+    put = lambda x: _Bound(incoming[x.ref.name]) if isinstance(x, ColumnValue) else _Bound(stored[x.name]) if isinstance(x, ColumnRef) else None
+    return _walk(e, put).column()
+
+
+def upsert(target: DataFrame, given: DataFrame, key: Sequence[str], updates: dict[str, Expression], order: str = "_seq") -> DataFrame:
+    """target after given was inserted in order; a row whose key is there already updates it instead.
+
+    updates may refer to the stored row by columns of the table and to the incoming one by ColumnValue. Where they
+    read nothing stored, the first and the last incoming row of a key tell its end, and one aggregate, combined
+    before its shuffle, and one join do. Else the rows of a key are folded in order, FOLDED at a time, with one join
+    for each such share of the busiest key: one for nearly all inputs, and never more rows together. Rows with a NULL
+    in the key never meet others.
+    """
+    columns, whole = target.columns, F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    kinds = {c: target.schema[c].dataType for c in columns}
+    row = F.struct(*(F.col(c).cast(kinds[c]).alias(c) for c in columns))
+    after = lambda old, new: F.struct(*((_bound(updates[c], old, new).cast(kinds[c]) if c in updates else old[c]).alias(c) for c in columns))
+    alone = given.where(~whole).select(*(F.col(c).cast(kinds[c]).alias(c) for c in columns))
+    given = given.where(whole)
+    if not any(_reads_stored(e) for e in updates.values()):
+        some = given.groupBy(*key).agg(F.min_by(row, order).alias("_first"), F.max_by(row, order).alias("_last"), F.count("*").alias("_n"))
+        held = target.select(F.struct(*columns).alias("_old"), *key)
+        both = held.join(some, list(key), "full")
+        old = F.coalesce("_old", "_first")
+        changed = F.when(F.col("_n").isNull() | (F.col("_old").isNull() & (F.col("_n") == 1)), old).otherwise(after(old, F.col("_last")))
+        return both.select(changed.alias("_row")).select("_row.*").unionByName(alone)
+    ranked = given.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+    rounds = ((ranked.agg(F.max("_nth")).first()[0] or 0) + FOLDED - 1) // FOLDED
+    out = target
+    for n in range(rounds):
+        share = ranked.where(F.col("_nth").between(n * FOLDED + 1, (n + 1) * FOLDED))
+        some = share.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_nth", row.alias("_row")))).alias("_rows"))
+        both = out.select(F.struct(*columns).alias("_old"), *key).join(some, list(key), "full")
+        rows = F.transform("_rows", lambda x: x["_row"])
+        rest = F.when(F.col("_old").isNull(), F.slice(rows, F.lit(2), F.size("_rows"))).otherwise(rows)
+        folded = F.aggregate(rest, F.coalesce("_old", rows[0]), after)
+        out = both.select(F.when(F.col("_rows").isNull(), F.col("_old")).otherwise(folded).alias("_row")).select("_row.*")
+    return out.unionByName(alone)
+
+
 @dataclass(frozen=True)
 class _Changing:
     table: Table
@@ -337,19 +379,38 @@ class _Changing:
     def _chosen(self, target: DataFrame) -> DataFrame:
         """target with _hit: whether the statement changes the row.
 
-        With a limit, the matching rows are cut by a top-n over the order, which Spark merges from sorted
-        partitions, and joined back by a row number, so no window gathers the table in one task.
+        With a limit, the last of the first n matching rows, by the order and then by hashes of the whole row, is
+        fetched, and rows are compared with its values: nothing that a task numbers decides, so a task that runs
+        again changes nothing. Rows equal to that last one, which are alike, are counted and made again.
         """
         if self.filter is None:
             raise StatementError("an update or delete needs a filter")
-        df = target.alias(self.table.name)
+        name, columns = self.table.name, target.columns
+        df = target.alias(name)
         hit = F.coalesce(self.filter.column(), F.lit(False))
         if self.count < 0:
             return df.withColumn("_hit", hit)
-        numbered = df.withColumn("_hit", hit).withColumn("_id", F.monotonically_increasing_id())
-        orders = [o.column() for o in self.orders] or [F.col("_id")]
-        first = numbered.alias(self.table.name).where("_hit").orderBy(*orders).limit(self.count).select("_id", F.lit(True).alias("_first"))
-        return numbered.join(first, "_id", "left").withColumn("_hit", F.coalesce("_first", F.lit(False))).drop("_first", "_id").alias(self.table.name)
+        if self.count == 0:
+            return df.withColumn("_hit", F.lit(False))
+        hashes = [F.xxhash64(F.lit(i), *(F.col(f"`{c}`") for c in columns)) for i in (1, 2)]
+        keys = [(o.inner.column(), o.ascending) for o in self.orders] + [(h, True) for h in hashes]
+        named = [f"_o{i}" for i in range(len(keys))]
+        marked = df.withColumn("_hit", hit).withColumns({n: k for n, (k, _) in zip(named, keys, strict=True)})
+        order = lambda back: [F.col(n).asc_nulls_first() if up != back else F.col(n).desc_nulls_last() for n, (_, up) in zip(named, keys, strict=True)]
+        first = marked.where("_hit").select(*named).orderBy(*order(False)).limit(self.count)
+        last = first.orderBy(*order(True)).limit(1).collect()  # one row
+        if not last:
+            return df.withColumn("_hit", F.lit(False))
+        before, same = F.lit(False), F.lit(True)
+        for (n, (_, up)), value in zip(zip(named, keys, strict=True), last[0], strict=True):
+            v = F.lit(value).cast(marked.schema[n].dataType)
+            less = (F.col(n).isNull() & v.isNotNull() | (F.col(n) < v)) if up else (v.isNull() & F.col(n).isNotNull() | (F.col(n) > v))
+            before, same = before | (same & F.coalesce(less, F.lit(False))), same & F.col(n).eqNullSafe(v)
+        taken = marked.where(F.col("_hit") & before).count()
+        apart = marked.where(~(F.col("_hit") & same)).select(*columns, (F.col("_hit") & before).alias("_hit"))
+        alike = marked.where(F.col("_hit") & same).groupBy(*columns).agg(F.count("*").alias("_c"))
+        again = alike.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_i")).select(*columns, (F.col("_i") <= self.count - taken).alias("_hit"))
+        return apart.unionByName(again).alias(name)
 
     def _tail(self) -> str:
         if self.filter is None:

@@ -84,3 +84,53 @@ def test_dml(source):
     assert {r.a: r.b for r in up.collect()} == {1: 15, 2: 20, 3: None, 4: 20, 9: 13}
     assert {r.a: r.b for r in more.ignore_duplicates().frame(t, key=["a"]).collect()} == {1: 10, 2: 20, 3: None, 4: 20, 9: 6}
     assert more.frame(t).count() == 7
+
+
+def test_upsert_of_busy_keys_against_a_loop(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    t = Table("t", int_field("k"), int_field("a"), int_field("b"))
+    schema = "k long, a long, b long"
+    stored = [(k, r.randrange(9), r.randrange(9)) for k in range(6)] + [(None, 1, 1)]
+    rows = [(i, r.choice([None, *range(9)]) if i % 3 else 2, r.randrange(9), r.choice([None, r.randrange(9)])) for i in range(300)]
+    target, given = spark.createDataFrame(stored, schema), spark.createDataFrame(rows, f"_seq long, {schema}")
+    cases = [
+        ({"a": E.ColumnValue(t.a)}, lambda old, new: (old[0], new[1], old[2])),
+        ({"a": E.add(t.a, E.ColumnValue(t.a)), "b": E.If(E.gt(t.a, 50), E.ColumnValue(t.b), t.a)}, lambda old, new: (old[0], old[1] + new[1], new[2] if old[1] > 50 else old[1])),
+    ]
+    for folded in (1000, 7):
+        monkeypatch.setattr(S, "FOLDED", folded)
+        for updates, apply in cases:
+            held, alone = {x[0]: x for x in stored if x[0] is not None}, [x for x in stored if x[0] is None]
+            for _, *new in rows:
+                if new[0] is None:
+                    alone.append(tuple(new))
+                else:
+                    held[new[0]] = apply(held[new[0]], new) if new[0] in held else tuple(new)
+            got = S.upsert(target, given, ["k"], updates)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted([*held.values(), *alone], key=repr)
+    plan = S.upsert(target, given, ["k"], cases[0][0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") == 1  # a busy key costs no further join
+
+
+def test_limits_with_nulls_ties_and_equal_rows(spark):
+    import random
+
+    r = random.Random(6)
+    t = Table("t", int_field("a"), int_field("b"))
+    data = [(r.choice([None, 1, 2, 3]), r.choice([None, 5, 6])) for _ in range(60)]
+    df = spark.createDataFrame(data, "a long, b long").repartition(5)
+    place = lambda up: (lambda v: (v is not None, v or 0)) if up else (lambda v: (v is None, -(v or 0)))
+    for n in (0, 1, 7, 20, 100):
+        for up in (True, False):
+            d = S.delete(t).where(E.neq(t.b, 5)).order_by(t.a.asc() if up else t.a.desc()).limit(n)
+            matching = sorted((x for x in data if x[1] is not None and x[1] != 5), key=lambda x: place(up)(x[0]))
+            left = d.frame(df).collect()
+            assert len(left) == 60 - min(n, len(matching))
+            gone = [x for x in data]
+            for x in left:
+                gone.remove(tuple(x))
+            assert sorted((place(up)(x[0]) for x in gone)) == [place(up)(x[0]) for x in matching[:n]] and all(x in matching for x in gone)
+        u = S.update(t).set(t.a, 99).where(E.eq(t.b, 6)).order_by(t.a).limit(n).frame(df)
+        assert u.count() == 60 and u.where("a = 99").count() == min(n, sum(x[1] == 6 for x in data))
