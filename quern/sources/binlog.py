@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,9 +113,96 @@ def queries(events: DataFrame) -> DataFrame:
     return of.select("file", "position", little_endian(b, 0, 4).alias("thread_id"), little_endian(b, 4, 4).alias("seconds"), little_endian(b, 9, 2).alias("error_code"), F.substring(b, F.lit(14), status).alias("status"), F.substring(b, status + 14, schema_size).cast("string").alias("database"), _rest(status + 14 + schema_size).cast("string").alias("statement"))
 
 
+#: Status variables of statements by code; fixed values of the log format. Kinds: sizes of numbers, t a text with
+#: its length before it, n a counted list of texts that end in 0, and plain bytes.
+STATUS = {
+    0: ("flags2", 4), 1: ("sql_mode", 8), 3: (("auto_increment_increment", 2), ("auto_increment_offset", 2)), 4: ("charset", "6"), 5: ("time_zone", "t"), 6: ("catalog", "t"), 7: ("lc_time_names", 2),
+    8: ("charset_database", 2), 9: ("table_map_for_update", 8), 11: (("invoker_user", "t"), ("invoker_host", "t")), 12: ("updated_databases", "n"), 13: ("microseconds", 3),
+}
+_STATUS_SQL = "flags2 long, sql_mode decimal(20,0), auto_increment_increment int, auto_increment_offset int, charset binary, time_zone string, catalog string, lc_time_names int, charset_database int, table_map_for_update decimal(20,0), invoker_user string, invoker_host string, updated_databases array<string>, microseconds int, error string"
+#: From this number of databases on their names are left out.
+MANY_DATABASES = 254
+
+
+def status_fields(status: bytes) -> dict:
+    """The variables of a statement's status bytes."""
+    b, out = Bytes(status), {}
+    while b.at < len(status):
+        code = b.number(1)
+        if code not in STATUS:
+            raise ValueError(f"unknown status code {code}")
+        fields = STATUS[code]
+        for name, kind in fields if isinstance(fields[0], tuple) else (fields,):
+            if isinstance(kind, int):
+                out[name] = b.number(kind)
+            elif kind == "t":
+                out[name] = b.take(b.number(1)).decode("utf-8", "replace")
+            elif kind == "n":
+                n = b.number(1)
+                out[name] = None if n >= MANY_DATABASES else [b.until_zero().decode("utf-8", "replace") for _ in range(n)]
+            else:
+                out[name] = b.take(int(kind))
+    return out
+
+
+def query_status(events: DataFrame) -> DataFrame:
+    """file, position and the status variables of every statement, null where one is not set; error for bytes that
+    cannot be read."""
+    names = [x.split()[0] for x in _STATUS_SQL.split(", ")]
+    number, text = pa.decimal128(20, 0), pa.string()
+    kinds = [pa.string(), pa.int64(), pa.int64(), number, pa.int32(), pa.int32(), pa.binary(), text, text, pa.int32(), pa.int32(), number, text, text, pa.list_(text), pa.int32(), text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, position, status in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    found = status_fields(status)
+                except ValueError as e:
+                    found = {"error": str(e)}
+                found = {k: Decimal(v) if k in ("sql_mode", "table_map_for_update") else v for k, v in found.items()}
+                rows.append((file, position, *(found.get(n) for n in names)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["file", "position", *names])
+
+    return queries(events).select("file", "position", "status").mapInArrow(run, f"file string, position long, {_STATUS_SQL}")
+
+
+#: Sizes of the fixed part by event type, and of the format event of versions 5.5 and 5.6; fixed values.
+FIXED_SIZES = {QUERY: 13, STOP: 0, ROTATE: 8, XID: 0, TABLE_MAP: 8, WRITE_V1: 8, UPDATE_V1: 8, DELETE_V1: 8, ROWS_QUERY: 0, WRITE_V2: 10, UPDATE_V2: 10, DELETE_V2: 10, GTID: 25, PREVIOUS_GTIDS: 0}
+FORMAT_SIZES = (84, 92)
+
+
+def formats(events: DataFrame) -> DataFrame:
+    """file, position, version, server, created, header_size, sizes (fixed sizes by event type, from type 1 on), checksum
+    (0 none, 1 CRC32, null before 5.6) and error, for format events: wrong versions, sizes or checksums."""
+    b = F.col("body")
+    byte = lambda at: F.conv(F.hex(F.substring(b, at + 1, 1)), 16, 10).cast("int")
+    tail = F.octet_length(b) - 57
+    old, new = tail == 27, tail == 40
+    at = lambda i: F.conv(F.hex(F.substring(b, i + F.lit(57), F.lit(1))), 16, 10).cast("int")
+    # relay logs of a 5.5 source and a 5.6 replica have room for more types than the source knows
+    known = F.when(new & (byte(57 + WRITE_V2 - 1) > 0), 35).otherwise(27)
+    of = events.where(F.col("type") == FORMAT).select(
+        "file", "position", little_endian(b, 0, 2).cast("int").alias("version"), F.regexp_extract(F.substring(b, 3, 50).cast("string"), r"^([^\x00]*)", 1).alias("server"), little_endian(b, 52, 4).alias("created"), byte(56).alias("header_size"),
+        F.when(old | new, F.transform(F.sequence(F.lit(1), known), at)).alias("sizes"), F.when(new, byte(57 + 35)).alias("checksum"),
+    )
+    size = lambda kind: F.get("sizes", F.lit(kind - 1))
+    wrong = [F.when(size(k).isNotNull() & (size(k) != n), F.lit(f"{EVENT_NAMES[k]} has a fixed size other than {n}")) for k, n in FIXED_SIZES.items()]
+    wrong.append(F.when(~size(FORMAT).isin(*FORMAT_SIZES), F.lit("FORMAT_DESCRIPTION has an unknown fixed size")))
+    error = (
+        F.when(F.col("sizes").isNull(), "unknown variant of the format")
+        .when(F.col("version") != 4, "not version 4")
+        .when(F.col("header_size") != HEADER.size, "headers have extra bytes")
+        .when(~F.coalesce("checksum", F.lit(0)).isin(0, 1), "unknown checksum algorithm")
+        .otherwise(F.nullif(F.concat_ws("; ", *wrong), F.lit("")))
+    )
+    return of.withColumn("error", error)
+
+
 def mode_enabled(sql_mode: Column, bit: int) -> Column:
-    """Whether a bit of the SQL mode is set; false where there is none."""
-    return F.coalesce(sql_mode.bitwiseAND(1 << bit) != 0, F.lit(False))
+    """Whether a bit of the SQL mode, an unsigned number, is set; false where there is none."""
+    wide = lambda n: F.lit(Decimal(n)).cast("decimal(21,0)")
+    return F.coalesce(sql_mode.cast("decimal(20,0)") % wide(2 << bit) >= wide(1 << bit), F.lit(False))
 
 
 def rotations(events: DataFrame) -> DataFrame:
@@ -165,22 +253,26 @@ def row_queries(events: DataFrame) -> DataFrame:
 
 
 def previous_gtids(events: DataFrame) -> DataFrame:
-    """sid, first, last (excluded) of every interval."""
+    """sid, first, last (excluded) of every interval; a body that ends early gives one row with error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for file, position, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = 8
-                for _ in range(int.from_bytes(body[:8], "little")):
-                    sid, n = body[at : at + 16].hex(), int.from_bytes(body[at + 16 : at + 24], "little")
-                    at += 24
-                    for _ in range(n):
-                        rows.append((file, position, sid, *struct.unpack_from("<qq", body, at)))
-                        at += 16
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "position", "sid", "first", "last"])
+                b, found = Bytes(body), []
+                try:
+                    for _ in range(b.number(8)):
+                        sid = b.take(16).hex()
+                        found += [(file, position, sid, *struct.unpack("<qq", b.take(16)), None) for _ in range(b.number(8))]
+                    if b.at != len(body):
+                        raise ValueError("bytes are left over")
+                except ValueError as e:
+                    found = [(file, position, None, None, None, str(e))]
+                rows += found
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["file", "position", "sid", "first", "last", "error"])
 
-    return events.where(F.col("type") == PREVIOUS_GTIDS).select("file", "position", "body").mapInArrow(run, "file string, position long, sid string, first long, last long")
+    return events.where(F.col("type") == PREVIOUS_GTIDS).select("file", "position", "body").mapInArrow(run, "file string, position long, sid string, first long, last long, error string")
 
 
 class Bytes:
@@ -205,6 +297,14 @@ class Bytes:
             raise ValueError("a null length")
         return self.number({252: 2, 253: 3, 254: 8}[n]) if n > 251 else n
 
+    def until_zero(self) -> bytes:
+        end = self.data.find(b"\0", self.at)
+        if end < 0:
+            raise ValueError("the body ends early")
+        raw = self.data[self.at : end]
+        self.at = end + 1
+        return raw
+
     def bits(self, n: int) -> list[bool]:
         raw = self.take((n + 7) // 8)
         return [bool(raw[i // 8] >> i % 8 & 1) for i in range(n)]
@@ -289,6 +389,8 @@ def row_images(kind: int, body: bytes, m: dict) -> list[tuple[list | None, list
         extra = b.number(2)
         if extra < 2:
             raise ValueError("wrong size of extra information")
+        if extra > 2 and b.data[b.at] != 0:
+            raise ValueError("unknown kind of extra information")
         b.take(extra - 2)
     width = b.packed()
     if width > len(m["kinds"]):
@@ -313,14 +415,28 @@ def row_images(kind: int, body: bytes, m: dict) -> list[tuple[list | None, list
     return rows
 
 
+def extra_of(kind: int, body: bytes) -> bytes | None:
+    """Extra information of rows of version 2, without its length; null where there is none."""
+    size = int.from_bytes(body[8:10], "little") - 2 if kind >= WRITE_V2 else 0
+    return body[10 : 10 + size] if size > 0 else None
+
+
 def changes(events: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """file, position, row, database, table, operation, before, after (arrays of text) and error, one row per row
-    image. The map in force is the last of the file before the event."""
+    """file, position, row, database, table, operation, before, after (arrays of text), error and extra (the bytes that
+    rows of version 2 carry), one row per row image. The map in force is the last of the file before the event.
+
+    Only places go through the file's window; bodies are dealt by event, so that one large file is decoded by
+    many tasks.
+    """
     w = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     rows = events.where(F.col("type").isin(TABLE_MAP, *OPERATIONS))
-    joined = rows.withColumn("map", F.last(F.when(F.col("type") == TABLE_MAP, F.col("body")), ignorenulls=True).over(w)).where(F.col("type") != TABLE_MAP)
-    names = ["file", "position", "row", "database", "table", "operation", "before", "after", "error"]
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+    is_map = F.col("type") == TABLE_MAP
+    places = rows.select("file", "position", "type").withColumn("_map", F.last(F.when(is_map, F.col("position")), ignorenulls=True).over(w)).where(~is_map).drop("type")
+    bodies = rows.where(~is_map).select("file", "position", "type", "body").join(places, ["file", "position"])
+    maps = rows.where(is_map).select("file", F.col("position").alias("_map"), F.col("body").alias("map"))
+    joined = bodies.join(maps, ["file", "_map"], "left")
+    names = ["file", "position", "row", "database", "table", "operation", "before", "after", "error", "extra"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[bytes | None, dict] = (None, {})
@@ -333,14 +449,14 @@ def changes(events: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
                     if raw != seen[0]:
                         seen = (raw, table_map(raw))
                     m = seen[1]
-                    out += [(file, position, i, m["database"], m["table"], OPERATIONS[kind], x, y, None) for i, (x, y) in enumerate(row_images(kind, body, m))]
+                    out += [(file, position, i, m["database"], m["table"], OPERATIONS[kind], x, y, None, extra_of(kind, body)) for i, (x, y) in enumerate(row_images(kind, body, m))]
                 except (ValueError, IndexError, KeyError, struct.error) as e:
                     if mode == "FAILFAST":
                         raise
-                    out.append((file, position, None, None, None, OPERATIONS[kind], None, None, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=names)
+                    out.append((file, position, None, None, None, OPERATIONS[kind], None, None, str(e), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names=names)
 
-    return joined.select("file", "position", "type", "body", "map").mapInArrow(run, "file string, position long, row int, database string, table string, operation string, before array<string>, after array<string>, error string")
+    return joined.select("file", "position", "type", "body", "map").mapInArrow(run, "file string, position long, row int, database string, table string, operation string, before array<string>, after array<string>, error string, extra binary")
 
 
 def typed(images: Column, schema: StructType, bits: dict[str, int] | None = None) -> list[Column]:
@@ -367,9 +483,10 @@ def current_rows(base: DataFrame, log: DataFrame, schema: StructType, key: list[
 
 
 class LogSource(DataSource):
-    """Format quern_log: events of rotating files prefix000001, prefix000002 ... in a folder that driver and
-    executors mount. As a stream its offset is the last file and the place after its last whole event; options:
-    path, prefix, first (file number), maxEvents (of a micro-batch)."""
+    """Format quern_log: events of rotating files prefix000001, prefix000002 ... in a folder, local or of a store that
+    pyarrow's file systems reach; after 999999 comes 000000. As a stream its offset is the last file, the place after
+    its last whole event and the checksum size in force there, and reading goes on from that place; options: path,
+    prefix, first (file number)."""
 
     @classmethod
     def name(cls) -> str:
@@ -386,22 +503,54 @@ class LogSource(DataSource):
 
 
 class _Piece(InputPartition):
-    def __init__(self, path: str, start: int, stop: int | None):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int, stop: int | None, checksum: int | None = None):
+        self.path, self.start, self.stop, self.checksum = path, start, stop, checksum
+
+
+def _opened(path: str):
+    """A file of any store, for reading at places."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_input_file(inner)
 
 
 def _events_between(piece: _Piece) -> Iterator[tuple]:
-    with open(piece.path, "rb") as f:
-        head = f.read(4)
-        if head != MAGIC:
+    with _opened(piece.path) as f:
+        if f.read(4) != MAGIC:
             if piece.stop is None:
                 raise ValueError(f"{piece.path} is not a change log")
             return
-        f.seek(0)
-        data = f.read() if piece.stop is None else f.read(piece.stop)
-    checksum = next((_checksum_size(e[7]) for e in frames(data, 4) if e[2] == FORMAT), 0)
-    for event in frames(data, piece.start, checksum):
-        yield (piece.path, *event)
+        f.seek(piece.start)
+        data = f.read() if piece.stop is None else f.read(piece.stop - piece.start)
+    for at, *rest in frames(data, 0, piece.checksum):
+        yield (piece.path, piece.start + at, *rest)
+
+
+def end_of(path: str, at: int = 4, checksum: int = 0) -> tuple[int, int]:
+    """The place after the last whole event, and the checksum size in force there, found from the headers alone."""
+    with _opened(path) as f:
+        size = f.size()
+        while at + HEADER.size <= size:
+            f.seek(at)
+            _, kind, _, length, _, _ = HEADER.unpack(f.read(HEADER.size))
+            if length < HEADER.size or at + length > size:
+                break
+            if kind == FORMAT:
+                checksum = _checksum_size(f.read(length - HEADER.size))
+            at += length
+    return at, checksum
+
+
+def in_turn(files: list[str]) -> list[str]:
+    """Log files by number; where numbers have gone past 999999, those after the widest gap come first."""
+    number = lambda f: int(f[-6:]) if f[-6:].isdigit() else int("".join(c for c in f.rsplit(".", 1)[-1] if c.isdigit()) or 0)
+    files = sorted(files, key=number)
+    if len(files) > 1 and number(files[0]) == 0 and number(files[-1]) == 999_999:
+        gaps = [number(b) - number(a) for a, b in zip(files[:-1], files[1:], strict=True)]
+        cut = gaps.index(max(gaps)) + 1
+        files = files[cut:] + files[:cut]
+    return files
 
 
 class _FolderReader(DataSourceReader):
@@ -409,10 +558,12 @@ class _FolderReader(DataSourceReader):
         self.options = options
 
     def _files(self) -> list[str]:
-        import os
+        from pyarrow import fs
 
-        folder, prefix = self.options["path"], self.options.get("prefix", "")
-        return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.startswith(prefix) and f[len(prefix) :].isdigit())
+        folder, prefix = self.options["path"].rstrip("/"), self.options.get("prefix", "")
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        names = [x.base_name for x in store.get_file_info(fs.FileSelector(inner)) if x.is_file]
+        return in_turn([f"{folder}/{n}" for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()])
 
     def partitions(self) -> list[_Piece]:
         return [_Piece(f, 4, None) for f in self._files()]
@@ -424,31 +575,42 @@ class _FolderReader(DataSourceReader):
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.files = _FolderReader(options)
-        self.first = int(options.get("first", "0"))
+        self.first = options.get("first")
+        self.reached: dict = {}
 
     def _numbered(self) -> list[str]:
-        return [f for f in self.files._files() if int("".join(c for c in f.rsplit(".", 1)[-1] if c.isdigit())[-6:]) >= self.first]
+        files = self.files._files()
+        if self.first is None:
+            return files
+        start = [i for i, f in enumerate(files) if int(f[-6:]) == int(self.first)]
+        return files[start[0] :] if start else [f for f in files if int(f[-6:]) >= int(self.first)]
 
     def initialOffset(self) -> dict:
-        return {"file": "", "position": 4}
+        return {"file": "", "position": 4, "checksum": 0}
 
     def latestOffset(self) -> dict:
-        """The place after the last whole event; the same as before while only part of an event has come."""
+        """The place after the last whole event; the same as before while only part of an event has come. Looks at
+        headers from the place of the last call on."""
         files = self._numbered()
         if not files:
             return self.initialOffset()
-        with open(files[-1], "rb") as f:
-            data = f.read()
-        at = 4
-        for event in frames(data):
-            at = event[0] + event[4]
-        return {"file": files[-1], "position": at}
+        known = self.reached if self.reached.get("file") == files[-1] else {"position": 4, "checksum": 0}
+        at, checksum = end_of(files[-1], known["position"], known["checksum"])
+        self.reached = {"file": files[-1], "position": at, "checksum": checksum}
+        return dict(self.reached)
 
     def partitions(self, start: dict, end: dict) -> list[_Piece]:
+        files = self._numbered()
+        if start["file"] and start["file"] not in files:
+            raise ValueError(f"{start['file']}, where reading is to go on, is gone")
+        lo = files.index(start["file"]) if start["file"] else 0
+        hi = files.index(end["file"]) if end["file"] else -1
         out = []
-        for f in self._numbered():
-            if start["file"] <= f <= end["file"]:
-                out.append(_Piece(f, start["position"] if f == start["file"] else 4, end["position"] if f == end["file"] else None))
+        for i, f in enumerate(files[lo : hi + 1], lo):
+            from_ = (start["position"], start.get("checksum")) if f == start["file"] else (4, 0)
+            stop = end["position"] if i == hi else None
+            if stop is None or stop > from_[0]:
+                out.append(_Piece(f, from_[0], stop, from_[1]))
         return out
 
     def read(self, partition: _Piece) -> Iterator[tuple]:

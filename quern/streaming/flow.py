@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from quern.functions.durable import checkpointed
+
 #: Fills of a bucket in a second.
 FILLS = 20
 
@@ -75,13 +77,27 @@ def fixed_order(instances: DataFrame, seed: str | None = None) -> DataFrame:
 
 
 def round_robin(requests: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
-    """requests with turn: their running number in order, modulo count; numbered by range, not in one task."""
-    ranked = requests.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id())
+    """requests with turn: their running number in order, modulo count; numbered by range, not in one task. The
+    numbered rows are checkpointed, as a range sort that runs again may cut elsewhere."""
+    ranked = checkpointed(requests.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id()))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_id").alias("_lo"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     return ranked.join(F.broadcast(before), "_p").withColumn("turn", ((F.col("_id") - F.col("_lo") + F.col("_b")) % count).cast("int")).select(*requests.columns, "turn")
 
 
+def nearest_nodes(keys: DataFrame, ring: DataFrame, k: int, key_hash: str = "key_hash") -> DataFrame:
+    """keys with nodes: the k nodes that follow their hash on the ring, those marked down (column down) left out. Each
+    node's followers are found on the ring, a table of one row per node, then keys take those of their own node."""
+    up = ring.where(~F.coalesce("down", F.lit(False))) if "down" in ring.columns else ring
+    size = up.count()
+    at = F.row_number().over(Window.orderBy("position", "node")) - 1  # the ring: as many rows as there are nodes
+    placed = up.select("node", "position", at.alias("_i"))
+    later = placed.select(F.col("_i").alias("_j"), F.col("node").alias("_next"))
+    steps = placed.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(min(k, size) - 1, 0))), lambda d: F.struct(d.alias("d"), ((F.col("_i") + d) % max(size, 1)).alias("_j")))).alias("s"))
+    follow = steps.select("node", "s.d", "s._j").join(later, "_j").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "_next"))), lambda x: x["_next"]).alias("nodes"))
+    return ring_lookup(keys, up.select("node", "position"), key_hash).join(follow, "node", "left").select(*keys.columns, "nodes")
+
+
 def observed(df: DataFrame, name: str, counters: dict[str, Column], summaries: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
     """df that counts rows where a condition holds, and sums up columns, as it runs."""
     seen = Observation(name)

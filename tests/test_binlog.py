@@ -1,6 +1,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.sources import binlog as B
 from quern.sources.logwriter import LogWriter
@@ -137,3 +138,89 @@ def test_rotations_are_checked(spark):
     kinds = {r.n for r in events.select(B.event_name(events["type"]).alias("n")).collect()}
     assert kinds == {"FORMAT_DESCRIPTION", "ROTATE"}
     assert B.relayed(events).count() == 0 and len(B.EVENT_NAMES) == 36
+
+
+def test_checksum_changes_midway(spark, tmp_path):
+    """Events after a second format event are cut as that one says, wherever a piece starts."""
+    w = LogWriter(checksum=False)
+    w.xid(1)
+    w.format(True)
+    w.xid(2)
+    middle = len(w.data)
+    w.xid(3)
+    w.format(False)
+    w.xid(4)
+    path = tmp_path / "log.000001"
+    path.write_bytes(bytes(w.data))
+    whole = [e for e in B._events_between(B._Piece(str(path), 4, None))]
+    assert [e[8] for e in whole if e[3] == B.XID] == [struct.pack("<Q", i) for i in (1, 2, 3, 4)]
+    at, checksum = B.end_of(str(path))
+    assert (at, checksum) == (len(w.data), 0)
+    path.write_bytes(bytes(w.data[:middle]))
+    place = B.end_of(str(path))
+    assert place == (middle, 4)
+    path.write_bytes(bytes(w.data))
+    assert list(B._events_between(B._Piece(str(path), *place[:1], None, place[1]))) == [e for e in whole if e[1] >= middle]
+
+
+def test_tail_goes_on_from_its_place(tmp_path):
+    r = B._TailReader({"path": str(tmp_path), "prefix": "log."})
+    assert r.latestOffset() == r.initialOffset() and r.partitions(r.initialOffset(), r.initialOffset()) == []
+    logs = {n: LogWriter(checksum=True) for n in ("999998", "999999", "000000", "000001")}
+    for n, w in logs.items():
+        w.xid(int(n))
+        (tmp_path / f"log.{n}").write_bytes(bytes(w.data))
+    assert [f[-6:] for f in r._numbered()] == list(logs)
+    end = r.latestOffset()
+    assert [p.path[-6:] for p in r.partitions(r.initialOffset(), end)] == list(logs)
+    logs["000001"].xid(7)
+    (tmp_path / "log.000001").write_bytes(bytes(logs["000001"].data) + b"\0" * 9)
+    after = r.latestOffset()
+    pieces = r.partitions(end, after)
+    assert [list(B._events_between(p))[0][8] for p in pieces] == [struct.pack("<Q", 7)] and r.partitions(after, after) == []
+    assert [f[-6:] for f in B._TailReader({"path": str(tmp_path), "prefix": "log.", "first": "999999"})._numbered()] == ["999999", "000000", "000001"]
+
+
+STATUS = bytes([0]) + struct.pack("<I", 5) + bytes([1]) + struct.pack("<Q", 1 << 63) + bytes([3]) + struct.pack("<HH", 2, 1) + b"\4abcdef" + b"\5\3UTC" + b"\6\3std" + bytes([7, 9, 0, 8, 8, 0, 9]) + struct.pack("<Q", 3) + b"\x0b\4root\x09localhost" + b"\x0c\2a\0b\0" + b"\x0d\x01\x00\x02"
+
+
+def test_status_variables(spark):
+    w = LogWriter()
+    for s in (STATUS, b"", b"\x0c\xfe", b"\2\1a", b"\5\7UT"):
+        w.query("db", "BEGIN", s)
+    full, none, many, old, short = B.query_status(_events(spark, bytes(w.data))).orderBy("position").collect()
+    assert full[2:] == (5, 1 << 63, 2, 1, b"abcdef", "UTC", "std", 9, 8, 3, "root", "localhost", ["a", "b"], 0x020001, None)
+    assert set(none[2:]) == {None} == set(many[2:])
+    assert (old.error, short.error) == ("unknown status code 2", "the body ends early")
+    got = B.query_status(_events(spark, bytes(w.data))).orderBy("position").select(B.mode_enabled(F.col("sql_mode"), 3).alias("low"), B.mode_enabled(F.col("sql_mode"), 63).alias("high")).collect()
+    assert [tuple(r) for r in got][:2] == [(False, True), (False, False)]
+    assert {r.statement for r in B.queries(_events(spark, bytes(w.data))).collect()} == {"BEGIN"}
+
+
+def test_formats_are_checked(spark):
+    wrong = {"": {}, "not version 4": {"version": 3}, "headers have extra bytes": {"header": 21}, "TABLE_MAP has a fixed size other than 8": {f"t{B.TABLE_MAP}": 7}, "unknown checksum algorithm": {"algorithm": 2}}
+    w = LogWriter()
+    for change in list(wrong.values())[1:]:
+        w.format(False, **change)
+    w._event(B.FORMAT, b"\4\0" + bytes(60))
+    got = B.formats(_events(spark, bytes(w.data))).orderBy("position").collect()
+    assert [r.error or "" for r in got] == [*wrong, "unknown variant of the format"]
+    assert (got[0].version, got[0].server, got[0].created, got[0].header_size, got[0].checksum, len(got[0].sizes)) == (4, "5.6.20-log", 1_400_000_000, 19, 0, 35)
+
+
+def test_bodies_that_end_early(spark):
+    w = LogWriter()
+    w.previous_gtids({bytes(16): [(1, 5)]})
+    w._event(B.PREVIOUS_GTIDS, struct.pack("<Q", 2) + bytes(16))
+    w._event(B.PREVIOUS_GTIDS, struct.pack("<Q", 0) + b"x")
+    assert [r.error for r in B.previous_gtids(_events(spark, bytes(w.data))).orderBy("position").collect()] == [None, "the body ends early", "bytes are left over"]
+
+
+def test_extra_information(spark):
+    w = LogWriter()
+    w.table_map(1, "d", "t", [3], b"", [False])
+    one = [([False], struct.pack("<I", 1))]
+    for extra in (b"", b"\0\5foo", b"\7x"):
+        w.rows(B.WRITE_V2, 1, 1, one, extra)
+    got = B.changes(_events(spark, bytes(w.data))).orderBy("position").collect()
+    assert [(r.extra, r.error) for r in got] == [(None, None), (b"\0\5foo", None), (None, "unknown kind of extra information")]
