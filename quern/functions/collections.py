@@ -5,7 +5,7 @@ Sets are arrays without repeats; bitmaps are arrays of booleans or, packed, of b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,16 @@ def removed(a: Column, value: Column) -> Column:
     return F.array_remove(a, value)
 
 
+def remove_if(a: Column, condition: Callable[[Column], Column]) -> Column:
+    """a without the members for which the condition holds."""
+    return F.filter(a, lambda x: ~condition(x))
+
+
+def each(a: Column, f: Callable[[Column], Column]) -> Column:
+    """f of every member."""
+    return F.transform(a, f)
+
+
 def keyed_set(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key: the last in order, combined in every task before the shuffle."""
     rest = [c for c in df.columns if c not in key]
@@ -95,6 +105,10 @@ def bit_inserted(b: Column, i: int, value: bool) -> Column:
     return F.array_insert(b, i + 1, F.lit(value))
 
 
+def bit_appended(b: Column, value: bool) -> Column:
+    return F.array_append(b, F.lit(value))
+
+
 def bit_deleted(b: Column, i: int) -> Column:
     return F.filter(b, lambda _, at: at != i)
 

@@ -178,7 +178,7 @@ class Union(_Clauses):
         df = self.selects[0].frame(source)
         for s in self.selects[1:]:
             df = df.union(s.frame(source))
-        if not self.every:
+        if not self.every and len(self.selects) > 1:
             df = df.distinct()
         if self.filter is not None:
             df = df.where(self.filter.column())

@@ -60,7 +60,7 @@ _statement(
 _left_open = CUSTOMER.left_join(ORDERS, E.and_(E.eq(CUSTOMER.c_custkey, ORDERS.o_custkey), E.gt(ORDERS.o_totalprice, 400000.0)))
 _statement("filter_null", S.select(_left_open, CUSTOMER.c_custkey).where(E.eq(ORDERS.o_orderkey, None)), "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NULL")
 _statement("filter_not_null", S.select(_left_open, CUSTOMER.c_custkey, ORDERS.o_orderkey).where(E.neq(ORDERS.o_orderkey, None)), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NOT NULL")
-_statement("filter_in", S.select(ORDERS, ORDERS.o_orderkey).where(E.In(ORDERS.o_orderstatus, ["F", "P"])).and_where(E.lt(ORDERS.o_orderkey, 500)), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey < 500")
+_statement("filter_in", S.select(ORDERS, ORDERS.o_orderkey).where(E.In(ORDERS.o_orderstatus, ["F", "P"])).and_where(E.lt(ORDERS.o_totalprice, 250000.0)), "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice < 250000")
 _statement("filter_in_empty", S.select(ORDERS, ORDERS.o_orderkey).where(E.In(ORDERS.o_orderstatus, [])), "SELECT o_orderkey FROM orders WHERE false")
 _statement("filter_like", S.select(PART, PART.p_partkey, PART.p_name).where(E.or_(E.like(PART.p_name, "%ol%"), E.like(PART.p_brand, "%" + E.escape_for_like("_") + "%"))), r"SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ol%' OR p_brand LIKE '%\_%' ESCAPE '\'")
 _statement("filter_regexp", S.select(PART, PART.p_partkey).where(E.regexp(PART.p_name, "[[:<:]]c.*d[[:>:]]")), r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '\bc.*d\b')")
@@ -266,9 +266,9 @@ def fnv_shard(spark, d):
     return Parquet(spark, d)["part"].select("p_partkey", H.fnv_shard(F.col("p_name"), 7).alias("shard"))
 
 
-@_query("SELECT event_id, hex(base64_decoded) AS h FROM (SELECT event_id, encode(event_type) AS base64_decoded FROM events)")
+@_query("SELECT event_id, lower(hex(encode(event_type))) AS h FROM events")
 def hex_encode(spark, d):
-    return Parquet(spark, d)["events"].select("event_id", F.hex(F.col("event_type").cast("binary")).alias("h"))
+    return Parquet(spark, d)["events"].select("event_id", H.hex_text(F.col("event_type").cast("binary")).alias("h"))
 
 
 @_query()

@@ -178,7 +178,8 @@ def formats(events: DataFrame) -> DataFrame:
     b = F.col("body")
     byte = lambda at: F.conv(F.hex(F.substring(b, at + 1, 1)), 16, 10).cast("int")
     tail = F.octet_length(b) - 57
-    old, new = tail == 27, tail == 40
+    # from 5.6 on an algorithm byte and a checksum follow, which is cut off where it is in use
+    old, new = tail == 27, tail.isin(36, 40)
     at = lambda i: F.conv(F.hex(F.substring(b, i + F.lit(57), F.lit(1))), 16, 10).cast("int")
     # relay logs of a 5.5 source and a 5.6 replica have room for more types than the source knows
     known = F.when(new & (byte(57 + WRITE_V2 - 1) > 0), 35).otherwise(27)

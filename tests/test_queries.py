@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from quern.plans.queries import ORACLE_SQL, QUERIES
+from quern.plans import more, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
