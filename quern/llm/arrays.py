@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,23 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_KEPT: list = []
+
+
+def kept(make):
+    """make, whose last result a Python worker keeps from task to task until another operator needs the room."""
+    cached = lru_cache(maxsize=1)(make)
+    _KEPT.append(cached)
+    return cached
+
+
+def alone(*used) -> None:
+    """Called where a task begins: lets go of what other operators' tasks have left in this worker."""
+    for cached in _KEPT:
+        if cached not in used:
+            cached.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _B

@@ -2,15 +2,17 @@
 
 A batch of texts is cut into pretokens by character classes; its distinct new pretokens become rows
 (word, position, token). A recursive query joins neighbouring rows with the merge table, takes each word's
-leftmost pair of least rank, contracts it, and stops when no word has a pair left. An ordered aggregation
-over the token rows decodes them again. Documents are put together from their pretokens by position.
+leftmost pair of least rank, contracts it, and stops when no word has a pair left; only words that still changed
+have rows in a round, and each word's last round is its encoding. Documents are put together from their
+pretokens by position; an ordered aggregation over the token rows of whole documents decodes them again.
 
 The cutting follows the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` of byte-level vocabularies.
 
 Defined results: null and empty texts have no ids; there are no special tokens, so their strings are
 ordinary text; pretokens of more than LONG bytes, for which a contraction a round would take quadratic work,
-are contracted in the same order from a heap; repeated rows are encoded alike.
+are contracted in the same order from a heap; repeated rows are encoded alike; pairs that tie in rank go from the
+left; an empty table gives an empty table; columns of the input named as a result (ids, decoded) are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrays import TextBatch, Vocabulary, slices
+from quern.llm.arrays import TextBatch, Vocabulary, alone, kept, slices
 
 #: Bytes of the longest pretoken that the recursive query contracts.
 LONG = 512
-#: Token rows that one query may produce, over all its rounds.
-_QUERY_ROWS = 3_000_000
+#: Token rows that one query may produce over all its rounds, and that one may decode.
+_QUERY_ROWS, _DECODE_ROWS = 3_000_000, 500_000
 _POSITIONS = (1 << 30) - 1
 
 # A row's code is its token's length and id: length << 16 | id. A pair's order x is
@@ -48,7 +50,7 @@ WITH RECURSIVE tokens(round, word, pos, code) AS (
    SELECT t.round + 1, t.word, t.pos, CASE WHEN t.pos = (x >> 16) & {_POSITIONS} THEN ((x & 255) << 16) + (x >> 46) ELSE t.code END
    FROM tokens t JOIN best USING (word)
    WHERE t.pos <> ((x >> 16) & {_POSITIONS}) + ((x >> 8) & 255)))
-SELECT word, pos, round, code & 65535 AS id FROM tokens
+SELECT word, code & 65535 AS id FROM tokens QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
 """
 _DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab USING (id) GROUP BY word ORDER BY word"
 
@@ -135,7 +137,6 @@ class Merges:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM given")
         self.words = Vocabulary(self.encode, 600_000)
         self.text: list[bytes] = []
-        self.plain: list[bytes] = []
         self.generation = self.words.generation
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +146,7 @@ class Merges:
         word = np.repeat(np.arange(len(words)), size)
         self.db.register("letters", pa.table({"word": word, "pos": np.arange(len(data)) + word, "code": self.letter[data]}))
         got = self.db.sql(_CONTRACT).to_arrow_table()
-        w, pos, round_, id_ = (got.column(i).to_numpy() for i in range(4))
-        last = np.zeros(len(words), round_.dtype)
-        np.maximum.at(last, w, round_)
-        final = round_ == last[w]
-        order = np.argsort(pos[final])
-        return w[final][order], id_[final][order]
+        return got.column(0).to_numpy(), got.column(1).to_numpy()
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contractions for one long word: leftmost pair of least rank first."""
@@ -201,21 +197,53 @@ class Merges:
         return out
 
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary slot of every pretoken, and its text; decimal and decoded forms follow the slots."""
+        """Vocabulary slot of every pretoken, and its text; decimal forms follow the slots."""
         start, end, doc, b = pretokens(texts)
         slot = self.words.rows(b.hash_spans(start, end), lambda i: b.span_bytes(int(start[i]), int(end[i])))
         bounds, ids = self.words.bounds, self.words.ids
         if self.generation != self.words.generation:
-            self.text, self.plain, self.generation = [], [], self.words.generation
+            self.text, self.generation = [], self.words.generation
         fresh = [ids[bounds[i] : bounds[i + 1]] for i in range(len(self.text), len(bounds) - 1)]
         for lo in range(0, len(fresh), 100_000):
-            part = fresh[lo : lo + 100_000]
-            self.text += [b" ".join(b"%d" % x for x in y.tolist()) for y in part]
-            self.plain += self.decode(part)
+            self.text += [b" ".join(b"%d" % x for x in y.tolist()) for y in fresh[lo : lo + 100_000]]
         return slot, doc
 
 
-@lru_cache(maxsize=1)
+    @property
+    def plain(self) -> list[bytes]:
+        """Decoded bytes of every slot."""
+        bounds = self.words.bounds
+        return self.decode([self.words.ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+
+    def round_trip(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """Number of ids, decimal ids joined by a blank, and the bytes that the ids decode to, of each text.
+
+        A text whose decoded bytes are not its own, which takes two pretokens of equal 64-bit hashes, is encoded again
+        pretoken by pretoken.
+        """
+        slot, doc = self.slots(texts)
+        ids, _ = self.words.expand(slot)
+        counts = np.bincount(doc, weights=self.words.sizes()[slot], minlength=len(texts)).astype(np.int64)
+        end = np.cumsum(counts)
+        # pieces of documents: a bounded number of tokens in each query
+        pieces = [(i, at, min(at + _DECODE_ROWS, int(end[i]))) for i in range(len(texts)) for at in range(int(end[i] - counts[i]), int(end[i]), _DECODE_ROWS)]
+        plain: list[list[bytes]] = [[] for _ in texts]
+        for x, y in slices([b - a for _, a, b in pieces], _DECODE_ROWS):
+            for (i, _, _), raw in zip(pieces[x:y], self.decode([ids[a:b] for _, a, b in pieces[x:y]]), strict=True):
+                plain[i].append(raw)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        listed = slot.tolist()
+        shown = [b" ".join([self.text[j] for j in listed[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        decoded = [b"".join(x) for x in plain]
+        for i, t in enumerate(texts):
+            if decoded[i] != t.encode("utf-8", "surrogatepass"):
+                start, stop, _, b = pretokens([t])
+                again = [x for y in self.encode([b.span_bytes(int(u), int(v)) for u, v in zip(start, stop, strict=True)]) for x in y]
+                counts[i], shown[i], decoded[i] = len(again), b" ".join(b"%d" % x for x in again), b"".join(self.decode([np.array(again)]))
+        return counts, shown, decoded
+
+
+@kept
 def merges(path: str) -> Merges:
     return Merges(path)
 
@@ -226,6 +254,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(merges)
         m = merges(ranks_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
@@ -260,19 +289,14 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", key: str =
     """key, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded without moving the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(merges)
         m = merges(ranks_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices([len(t) + 64 for t in texts]):
-                slot, doc = m.slots(texts[lo:hi])
-                counts = np.bincount(doc, weights=m.words.sizes()[slot], minlength=hi - lo).astype(np.int64)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()
-                listed = slot.tolist()
-                shas = [[], []]
-                for forms, glue, out in ((m.text, b" ", shas[0]), (m.plain, b"", shas[1])):
-                    whole = [forms[i] for i in listed]
-                    out += [hashlib.sha256(glue.join(whole[a:b])).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(shas[0]), pa.array(shas[1])], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                counts, shown, decoded = m.round_trip(texts[lo:hi])
+                sha = lambda items: pa.array([hashlib.sha256(x).hexdigest() for x in items])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), sha(shown), sha(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(key, F.col(text).cast("string"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

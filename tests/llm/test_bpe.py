@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -66,3 +67,20 @@ def test_round_trip_and_columns(frame, odd, tables):
     back = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert all(bytes(r.decoded).decode() == (r.text or "") and r.ids == lib.encode_ordinary(r.text or "") and r.score == "score" for r in back)
     assert bpe.round_trip(frame([]), PATH).count() == 0
+
+
+def test_a_clash_of_hashes_is_noticed(tables, monkeypatch):
+    """With hashes of four bits words take each other's encodings, and such texts are encoded again."""
+    _, lib = tables
+    m, inner = bpe.Merges(PATH), bpe.TextBatch.hash_spans
+    monkeypatch.setattr(bpe.TextBatch, "hash_spans", lambda self, s, e: inner(self, s, e) & np.uint64(15))
+    texts = ["the river bends away from old mills", "a second text, with other words in it 123", "", "third: words é"]
+    counts, shown, decoded = m.round_trip(texts)
+    assert [x.decode() for x in decoded] == texts
+    assert [x.decode() for x in shown] == [" ".join(map(str, lib.encode_ordinary(t))) for t in texts] and counts.tolist() == [len(lib.encode_ordinary(t)) for t in texts]
+
+
+def test_documents_of_many_decoding_queries(tables, monkeypatch):
+    monkeypatch.setattr(bpe, "_DECODE_ROWS", 5)
+    texts = ["the river bends away from old mills again and again", "", "a", "one two three four five six"]
+    assert [x.decode() for x in tables[0].round_trip(texts)[2]] == texts
