@@ -7,7 +7,8 @@ repeat, and the union of the lines that repeats cover is removed. Built from Dat
 Defined results: a null text stays null with no lines; an empty text is one empty line; texts of fewer
 than three lines have no window and stay as they are; windows of three blank lines never count; rows that
 repeat both id and text are one document and are cleaned alike; ids compare in ascending order with null
-first, equal ids by a hash of the text. Input columns named n_lines or n_removed are replaced.
+first, equal ids by a hash of the text; an empty table gives an empty table. Input columns named n_lines or
+n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import row_hash
+from quern.llm.common import row_hash, written
 
 WINDOW = 3
 _ENDS = " \t\r"
@@ -30,37 +31,46 @@ def _windows(lines: Column, size: int) -> Column:
     return made[0]
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """One row (_k, _a, _b, gone) for each document that loses lines; gone lists 0-based line numbers.
+def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
+    """One row (_k, _a, _b, at) for each document that loses lines; at lists the 0-based places of its repeated
+    windows, ascending.
 
-    Shuffles one narrow row per window. A window found in very many documents is combined before the
-    shuffle, and its join side is one that adaptive execution splits when skewed.
+    Windows are made once and written, a narrow row each. A window found in very many documents is combined before
+    the shuffle, and its join side is one that adaptive execution splits when skewed.
     """
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_ENDS)))
     a, b = row_hash(key, text)
     each = docs.select(F.col(key).alias("_k"), a.alias("_a"), b.alias("_b"), F.explode(_windows(lines, size)).alias("w"))
-    each = each.select("_k", "_a", "_b", F.col("w.pos").alias("pos"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+    each = written(each.select("_k", "_a", "_b", F.col("w.pos").alias("pos"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")))
     place = F.struct("_k", "_a", "_b", "pos")
     first = each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
     later = each.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
-    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (size - 1)))))
-    return later.groupBy("_k", "_a", "_b").agg(covered.alias("gone"))
+    return later.groupBy("_k", "_a", "_b").agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """docs with repeated windows cut from the text, and n_lines and n_removed."""
-    gone = repeated_lines(docs, text, key, size)
+    """docs with repeated windows cut from the text, and n_lines and n_removed.
+
+    Between the places p and q of two neighbouring repeated windows the lines from p + size up to q stay: their
+    ranges are merged into the new text at one go, whatever the numbers of lines and windows.
+    """
+    gone = repeated_windows(docs, text, key, size)
     a, b = row_hash(key, text)
     plain = docs.drop("n_lines", "n_removed").withColumns({"_a": a, "_b": b})
     same = plain[key].eqNullSafe(gone["_k"]) & (plain["_a"] == gone["_a"]) & (plain["_b"] == gone["_b"])
-    joined = plain.join(gone, same, "left").select(*(plain[c] for c in plain.columns), "gone")
+    joined = plain.join(gone, same, "left").select(*(plain[c] for c in plain.columns), "at")
     lines = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    from_ = F.concat(F.array(F.lit(0)), F.transform("at", lambda p: p + size))
+    to = F.concat("at", F.array(F.size(lines)))
+    stay = F.filter(F.zip_with(from_, to, lambda x, y: F.struct(x.alias("at"), (y - x).alias("n"))), lambda r: r["n"] > 0)
+    # the outer transform binds the lines, or each range would split the text anew
+    left = F.transform(F.array(lines), lambda x: F.flatten(F.transform(stay, lambda r: F.slice(x, r["at"] + 1, r["n"]))))[0]
+    kept = F.aggregate(stay, F.lit(0), lambda n, r: n + r["n"])
     return joined.withColumns({
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(left),
-    }).drop("_a", "_b", "gone")
+        "n_removed": F.coalesce(F.size(lines) - kept, F.lit(0)).cast("long"),
+        text: F.when(F.col("at").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
+    }).drop("_a", "_b", "at")
 
 
 #: The same result in DuckDB SQL over a view `docs` with columns doc_id and text.
