@@ -11,7 +11,9 @@ Archives are rows of a table (one binary column), so that they live in whatever
 
 Defined results: null pages have an empty payload; a null URL becomes ``urn:none``; white space and control
 characters in URLs are percent-encoded; a null page id is never referred to and its copies are responses
-unless an equal payload has an id; rows that repeat id and payload are alike.
+unless an equal payload has an id; rows that repeat id and payload are alike; pages of one id and several payloads
+are apart by these; an empty table gives an empty table; columns of the input other than page_id, url and html
+are not read, so that none can clash.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from quern.llm.common import checkpointed
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 ARCHIVE_BYTES = 4 << 20
+#: Bytes of an archive that the reader takes at a time.
+_WINDOW = 1 << 14
 #: Field names of the record lines by ARC version, fixed by the format.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -110,11 +114,18 @@ def warc_record(url: str, date: str, page_id: int | None, payload: bytes, digest
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record of a file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    """(header fields by lower-case name, block) of each record of a file of gzip members, read by windows, so that
+    no record copies what follows it."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a record is cut short")
+            window = view[at : at + _WINDOW]
+            parts.append(member.decompress(window))
+            at += len(window) - len(member.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         first, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
