@@ -1,52 +1,20 @@
-"""Small helpers shared by the operators: row keys, checkpoints, table access."""
+"""Small helpers shared by the operators: row keys, table access, and tables written to the shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.durable import checkpointed, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a local session, whose
-    executor is the driver itself, gets a temporary one; on a cluster that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
-    path = f"{_shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder that spark.checkpoint.dir names, lineage cut.
-
-    Executors may be lost: the files lie in shared storage.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def row_hash(*cols: str) -> list[Column]:
     """Two 64-bit hashes over the columns; equal rows and only they (but for 2^-128) get equal pairs."""
     parts = [F.col(c) for c in cols]

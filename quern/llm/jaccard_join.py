@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrays import TextBatch, combine, mix, slices
+from quern.llm.arrays import TextBatch, alone, combine, mix, slices
 from quern.llm.common import checkpointed, row_hash, shuffle_partitions, written
 
 WORDS = 5
@@ -164,6 +164,7 @@ def _batches(bits: int, parts: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        alone()
         seen: set[int] = set()
         name, rows = TaskContext.get().partitionId() << 32, 0
         held: tuple[list, list, list, list] = ([], [], [], [])

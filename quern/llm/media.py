@@ -11,7 +11,9 @@ block, 192 bytes a unit of three full-resolution components, quantised by 1. Its
 less and then that bit, the first five AC coefficients likewise, and the others in one band.
 
 Defined results: null and empty texts are one padded unit of blanks; equal texts give equal files; a file
-that is no progressive JPEG, or is cut short, raises ValueError; repeated rows are stored alike.
+that is no progressive JPEG, or is cut short, raises ValueError, and so does a payload of more blocks than the format's
+65535 pixels of height hold; repeated rows are stored alike, and nothing depends on other rows, so there are no ties;
+an empty table gives an empty table; columns of the input named as a result are replaced.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.arrays import alone, kept
 from quern.llm.common import checkpointed, written
 
 CAPACITY, END_ID = 2048, 0
@@ -61,7 +62,7 @@ class BestFit:
         return bin_, room
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(vocabulary_json: str, pattern: str):
     """The byte-level BPE of a tokenizers JSON file and its added tokens, run by tiktoken, which gives the same ids faster."""
     import tiktoken
@@ -92,6 +93,7 @@ _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long,
 
 def _local(vocabulary_json: str, pattern: str, capacity: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(encoder)
         enc = encoder(vocabulary_json, pattern)
         to_array, allowed = getattr(enc, "encode_to_numpy", enc.encode), "all" if added else set()
         base, made = TaskContext.get().partitionId() << 32, 0

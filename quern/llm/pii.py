@@ -8,13 +8,15 @@ terms beyond one threshold are generalised to their class, beyond a higher one r
 that holds the entity, wherever they stand in it: the window is for the estimate alone. A second pass over the
 texts with entities finds the places; a bitmap of fixed size keeps most terms that disclose nothing out of it.
 
-Terms are runs of ASCII letters and digits or of characters beyond ASCII, A-Z in lower case. Positions are
+Terms are runs of MIN_TERM bytes or more of ASCII letters and digits or of characters beyond ASCII, A-Z in lower
+case. A pair must be seen in SUPPORT documents: from one alone nothing tells chance from disclosure. Positions are
 code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; texts of any length are read whole; rows that repeat id
 and text get the same spans and count as one document each; a term needs two documents of support; an
-entity in all documents has no information and nothing discloses it. Columns of the input that clash with
-the results are replaced.
+entity in all documents has no information and nothing discloses it; a term that discloses several entities of a
+document is removed if one of them asks for it; spans that start together are ordered by kind; an empty table gives
+an empty table. Columns of the input other than key and text are not read by detect and stay as they are in sanitise.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrays import TextBatch, slices
+from quern.llm.arrays import TextBatch, alone, slices
 from quern.llm.common import checkpointed, row_hash, written
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 #: Words on either side of an entity; documents a term and an entity must share; thresholds of disclosure.
 REACH, SUPPORT, GENERALISE, REMOVE = 10, 2, 0.75, 0.9
+#: Bytes of the shortest term: shorter ones, mostly particles and single letters, are never candidates.
 MIN_TERM = 3
 #: Bits of the filter of disclosing terms, by the low bits of their hashes.
 FILTER_BITS = 1 << 25
@@ -150,6 +153,7 @@ def _context(start: np.ndarray, end: np.ndarray, h: np.ndarray, spans, keys: lis
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    alone()
     row = TaskContext.get().partitionId() << 40
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     pair = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))

@@ -16,14 +16,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.arrays import TextBatch, Vocabulary, combine, repeated, text_slices
+from quern.llm.arrays import TextBatch, Vocabulary, alone, combine, kept, repeated, text_slices
 
 #: Bases of the fixed contract: fewer words fail, and so does a larger percentage of repeated words.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -75,7 +74,7 @@ _HEAD = (np.arange(256) & 0xC0) != 0x80
 _SCRIPT = _script_table()
 
 
-@lru_cache(maxsize=1)
+@kept
 def _pieces(path: str) -> tuple[Vocabulary, np.ndarray]:
     import sentencepiece
 
@@ -88,7 +87,7 @@ def _pieces(path: str) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary(encode, KNOWN_WORDS), fallback
 
 
-@lru_cache(maxsize=1)
+@kept
 def _tokens(path: str) -> Vocabulary:
     import base64
 
@@ -170,6 +169,7 @@ def fertility(docs: DataFrame, model_path: str, text: str = "text", bands: dict[
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} {v}" for k, v in _TYPES.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_pieces, _tokens)
         (pieces, fallback), tokens = _pieces(model_path), _tokens(ranks_path)
         for batch in batches:
             for lo, texts in text_slices(batch.column(batch.schema.get_field_index(text))):

@@ -85,3 +85,53 @@ def test_term_frequencies(frame):
     got = {r.t: r.df for r in pii.term_frequencies(frame([(1, "Abc abc ÄB"), (2, "abc xy"), (3, None)])).collect()}
     start, end, _, h = pii.terms(TextBatch(["abc äb"], lower=True))
     assert got[int(h[0])] == 2 and len(got) == 2
+
+
+def test_disclosure_by_brute_force(frame):
+    """Shares and spans over a random corpus, document by document."""
+    import math
+    from collections import Counter
+
+    r = random.Random(11)
+    pool, names = [f"w{i}" for i in range(40)] + ["x", "of", "Zorb", "éa"], [f"p{i}@mail.org" for i in range(8)]
+    rows = []
+    for i in range(160):
+        words = [r.choice(pool) for _ in range(r.randrange(3, 40))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            who = r.randrange(8)
+            words.insert(r.randrange(len(words) + 1), names[who])
+            if r.random() < 0.7:
+                words.insert(r.randrange(len(words) + 1), f"only{who}")
+        rows.append((i, " ".join(words)))
+    rows.append((999, None))
+    term = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    holds, near, df = Counter(), Counter(), Counter()
+    long_enough = lambda m: len(m[0].encode()) >= pii.MIN_TERM
+    free = {}
+    for i, t in rows:
+        t = t or ""
+        spans = plain(t)
+        df.update({m[0] for m in term.finditer(t.translate(low)) if long_enough(m)})
+        free[i] = [m for m in term.finditer(t.translate(low)) if long_enough(m) and all(m.end() <= s or m.start() >= e for s, _, e in spans)]
+        pairs = set()
+        for s, _, e in spans:
+            left, right = [m[0] for m in free[i] if m.end() <= s], [m[0] for m in free[i] if m.start() >= e]
+            pairs.update((t[s:e], w) for w in left[-pii.REACH :] + right[: pii.REACH])
+        holds.update({t[s:e] for s, _, e in spans})
+        near.update(pairs)
+    n, judged = len(rows), {}
+    for (e, w), c in near.items():
+        if c >= pii.SUPPORT and pii.SUPPORT <= holds[e] < n:
+            share = math.log(c * n / (holds[e] * df[w])) / math.log(n / holds[e])
+            if share >= pii.GENERALISE:
+                judged[e, w] = 5 if share >= pii.REMOVE else 4
+    got = {x.doc_id: x for x in pii.detect(frame(rows)).collect()}
+    kinds = set()
+    for i, t in rows:
+        t = t or ""
+        here = {t[s:e] for s, _, e in plain(t)}
+        want = sorted([*plain(t), *((m.start(), k, m.end()) for m in free[i] if (k := max((judged.get((e, m[0]), 0) for e in here), default=0)))])
+        assert [(s["start"], s["kind"], s["end"]) for s in got[i].spans] == want, i
+        kinds.update(k for _, k, _ in want)
+    assert kinds >= {0, 4, 5} or kinds >= {0, 5}
