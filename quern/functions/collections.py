@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Largest number that zipf draws.
+MOST_DRAWN = 10_000
+
+
 def union(a: Column, b: Column) -> Column:
     """Null sets count as empty."""
     none = F.coalesce(a, b)
@@ -152,6 +156,34 @@ def jittered(c: Column, fraction: float, seed: int) -> Column:
     return c * (1 + fraction * (2 * F.rand(seed) - 1))
 
 
+def normal(seed: int) -> Column:
+    """Draws of mean 0 and deviation 1."""
+    return F.randn(seed)
+
+
+def exponential(seed: int) -> Column:
+    """Draws of mean 1."""
+    return -F.log(1 - F.rand(seed))
+
+
+def zipf(s: float, v: float, most: int, seed: int) -> Column:
+    """Draws of k from 0 to most with weights (v + k)^-s, s over 1 and v at least 1: the first k whose share of the
+    weights reaches a uniform draw, by bisection over a table that is a literal of most + 1 numbers."""
+    if s <= 1 or v < 1 or not 0 <= most <= MOST_DRAWN:
+        raise ValueError(f"s must exceed 1, v be 1 at least and most lie in 0 to {MOST_DRAWN}")
+    total, shares = 0.0, []
+    for k in range(most + 1):
+        total += (v + k) ** -s
+        shares.append(total)
+    table = F.array(*(F.lit(x / total) for x in shares))
+    steps = F.sequence(F.lit(1), F.lit(max(most, 1).bit_length() + 1))
+    first = F.struct(F.lit(0).alias("lo"), F.lit(most).alias("hi"), F.rand(seed).alias("u"))
+    middle = lambda b: F.shiftright(b["lo"] + b["hi"], 1)
+    low = lambda b: F.get(table, middle(b)) < b["u"]
+    halved = lambda b, _: F.struct(F.when((b["lo"] < b["hi"]) & low(b), middle(b) + 1).otherwise(b["lo"]).alias("lo"), F.when((b["lo"] < b["hi"]) & ~low(b), middle(b)).otherwise(b["hi"]).alias("hi"), b["u"].alias("u"))
+    return F.aggregate(steps, first, halved)["lo"]
+
+
 def most_recent(accesses: DataFrame, key: str, order: Sequence[str], size: int, partition: Sequence[str] = ()) -> DataFrame:
     """What a cache of the given size holds after all accesses: the keys of the latest ones, newest first."""
     if size < 1:

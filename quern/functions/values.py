@@ -37,6 +37,11 @@ def converted(c: Column, kind: str, nullable: bool = False) -> Column:
     return F.when(out.isNull(), bad).otherwise(out)
 
 
+def converted_or(c: Column, kind: str, default: Column) -> Column:
+    """c as kind, and default where it is NULL; a value that does not fit is an error."""
+    return F.when(c.isNull(), default.cast(kind)).otherwise(converted(F.coalesce(c, default.cast("string")), kind))
+
+
 def converted_row(df: DataFrame, kinds: Sequence[str], nullable: bool = False) -> DataFrame:
     if len(kinds) != len(df.columns):
         raise ValueError("as many kinds as columns are needed")

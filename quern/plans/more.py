@@ -180,6 +180,12 @@ def value_conversion(spark, d):
     )
 
 
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -5 END AS k FROM orders")
+def default_conversion(spark, d):
+    given = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))
+    return Parquet(spark, d)["orders"].select("o_orderkey", V.converted_or(given, "bigint", F.lit(-5)).alias("k"))
+
+
 @_query("SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance FROM customer")
 def row_conversion(spark, d):
     t = Parquet(spark, d)["customer"].select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").cast("string").alias("balance"))
@@ -251,6 +257,18 @@ def jitter(spark, d):
     return t.select("event_id", C.jittered(F.col("x"), 0.25, 5).between(75, 125).alias("inside"))
 
 
+@_query("SELECT true AS normal_mean, true AS normal_spread, true AS exponential_mean, true AS zipf_first, true AS zipf_range, count(*) AS n FROM lineitem")
+def random_draws(spark, d):
+    """Means and shares of seeded draws lie within six standard errors of what they should be."""
+    t = Parquet(spark, d)["lineitem"].select(C.normal(1).alias("g"), C.exponential(2).alias("e"), C.zipf(2.0, 1.0, 99, 3).alias("z"))
+    near = lambda c, want, spread: F.abs(c - want) <= 6 * spread / F.sqrt(F.count("*"))
+    first = 1 / sum((1 + k) ** -2.0 for k in range(100))
+    return t.agg(
+        near(F.avg("g"), 0.0, 1.0).alias("normal_mean"), near(F.avg(F.col("g") * F.col("g")), 1.0, 2.0**0.5).alias("normal_spread"), near(F.avg("e"), 1.0, 1.0).alias("exponential_mean"),
+        near(F.avg((F.col("z") == 0).cast("double")), first, 0.5).alias("zipf_first"), ((F.min("z") >= 0) & (F.max("z") <= 99)).alias("zipf_range"), F.count("*").alias("n"),
+    )
+
+
 # Change logs. Each row of a table is written as a log file of its own, in the tasks that hold the row.
 
 _FILES = "path string, content binary"
@@ -480,6 +498,19 @@ def kv_validation(spark, d):
     return e.select("event_id", keyed.valid_key(key).alias("key"), keyed.valid_value(F.col("props").cast("binary"), 9).alias("value"))
 
 
+@_query("SELECT concat('u', user_id) AS key, arg_max(event_type, event_id) AS value, count(*) AS version FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_id % 997 = 0) AND event_id % 997 <> 0 GROUP BY user_id")
+def kv_flush(spark, d):
+    """Sets, and a flush now and then: items are those of the sets after the last flush."""
+    ops = _operations(spark, d, ("set",)).withColumn("op", F.when(F.col("seq") % 997 == 0, "flush").otherwise(F.col("op")))
+    done = keyed.apply_operations(spark.createDataFrame([], keyed.STATE), keyed.flushed(ops))
+    return done.where("kind = 'state'").select("key", F.col("value").cast("string").alias("value"), "version")
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'key exists' WHEN n_nationkey = 5 THEN 'item not stored' WHEN n_nationkey > 9 THEN concat('invalid status: ', n_nationkey) END AS name FROM nation WHERE n_nationkey IN (2, 5) OR n_nationkey > 9")
+def kv_codes(spark, d):
+    return Parquet(spark, d)["nation"].where("n_nationkey in (2, 5) or n_nationkey > 9").select("n_nationkey", keyed.code_name(F.col("n_nationkey")).alias("name"))
+
+
 # Flow control.
 
 _BUCKET = (

@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 
 #: Status texts of responses; fixed values.
 OK, KEY_NOT_FOUND, KEY_EXISTS, NOT_STORED, BAD_VALUE, INVALID = "ok", "key not found", "key exists", "item not stored", "non-numeric value", "invalid arguments"
+#: Names of the response codes of the wire; fixed values.
+CODES = {
+    0x00: "no error", 0x01: "key not found", 0x02: "key exists", 0x03: "value too large", 0x04: "invalid arguments", 0x05: "item not stored", 0x06: "non-numeric value", 0x07: "bucket of another server",
+    0x08: "authentication error", 0x09: "authentication continues", 0x81: "unknown command", 0x82: "out of memory", 0x83: "not supported", 0x84: "internal error", 0x85: "busy", 0x86: "temporary failure",
+}
 #: Expiration that forbids seeding a counter; longest key and value in bytes.
 NEVER_SEED, MAX_KEY, MAX_VALUE = 0xFFFFFFFF, 250, 1 << 20
 
@@ -27,6 +32,12 @@ STATE = "key string, value binary, flags long, version long, expiration long"
 _RESULT = f"kind string, seq long, op string, status string, {STATE}"
 
 
+def code_name(code: Column) -> Column:
+    """Name of a response code, or what is wrong with it."""
+    names = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    return F.coalesce(names[code.cast("int")], F.concat(F.lit("invalid status: "), code.cast("string")))
+
+
 def valid_key(key: Column) -> Column:
     """1 to 250 bytes without blanks, control characters or DEL."""
     return F.octet_length(key).between(1, MAX_KEY) & ~key.rlike(r"[\x00-\x20\x7f]")
@@ -130,6 +141,12 @@ def stream_operations(operations: DataFrame) -> DataFrame:
     return operations.groupBy("key").applyInPandasWithState(run, f"seq long, op string, status string, {STATE}", held, "update", GroupStateTimeout.NoTimeout)
 
 
+def flushed(operations: DataFrame) -> DataFrame:
+    """The operations after the last flush of the store; what came before it leaves no item. One row tells the place."""
+    last = operations.where("op = 'flush'").agg(F.coalesce(F.max("seq"), F.lit(-1).cast("long")).alias("_last"))
+    return operations.crossJoin(F.broadcast(last)).where(F.col("seq") > F.col("_last")).drop("_last")
+
+
 def get_multi(state: DataFrame, keys: DataFrame) -> DataFrame:
     """found and item for every distinct key; a miss has version 0."""
     hit = state.withColumn("_hit", F.lit(True))
