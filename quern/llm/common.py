@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until docs has none of them."""
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def row_hash(*cols: str) -> list[Column]:
     """Two 64-bit hashes over the columns; equal rows and only they (but for 2^-128) get equal pairs."""
     parts = [F.col(c) for c in cols]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import TextBatch, alone, combine, mix, slices
-from quern.llm.common import checkpointed, row_hash, shuffle_partitions, written
+from quern.llm.common import checkpointed, free, row_hash, shuffle_partitions, written
 
 WORDS = 5
 #: Similarity threshold in percent.
@@ -613,10 +613,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, one for each component of linked texts: that of the smallest key (null last), of the smallest
     hash where a key has several texts. Rows that repeat key and text are one; empty sets all stay."""
-    names = {"a": "_a", "b": "_b"}
-    while set(names.values()) & set(docs.columns):
-        names = {k: f"_{v}" for k, v in names.items()}
-    a, b = names.values()
+    a, b = free(docs, "_a", "_b")
     first, second = row_hash(key, text)
     keyed = docs.withColumns({a: first, b: second})
     found = join(keyed, text, a, words, percent)
@@ -627,3 +624,20 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     best = known.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("_at", "doc_id", "_other")).alias("best")).select("best.doc_id", "best._other")
     chosen = best.union(known.where("n_shingles = 0").select("doc_id", "_other")).select(F.col("doc_id").alias(a), F.col("_other").alias(b))
     return keyed.dropDuplicates([a, b]).join(chosen, [a, b], "left_semi").select(*docs.columns)
+
+
+#: The components in DuckDB SQL over a view `docs` with columns doc_id (unique) and text.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reached.doc_id, either.b FROM reached JOIN either ON either.a = reached.r)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, coalesce(min(r), d.doc_id) AS component_id
+FROM words d LEFT JOIN sizes USING (doc_id) LEFT JOIN reached USING (doc_id) GROUP BY d.doc_id
+"""

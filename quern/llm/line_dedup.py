@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import row_hash, written
+from quern.llm.common import free, row_hash, written
 
 WINDOW = 3
 _ENDS = " \t\r"
@@ -54,14 +54,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     Between the places p and q of two neighbouring repeated windows the lines from p + size up to q stay: their
     ranges are merged into the new text at one go, whatever the numbers of lines and windows.
     """
-    gone = repeated_windows(docs, text, key, size)
-    a, b = row_hash(key, text)
-    plain = docs.drop("n_lines", "n_removed").withColumns({"_a": a, "_b": b})
-    same = plain[key].eqNullSafe(gone["_k"]) & (plain["_a"] == gone["_a"]) & (plain["_b"] == gone["_b"])
-    joined = plain.join(gone, same, "left").select(*(plain[c] for c in plain.columns), "at")
+    plain = docs.drop("n_lines", "n_removed")
+    at, a, b, k = free(plain, "_at", "_a", "_b", "_k")
+    gone = repeated_windows(docs, text, key, size).toDF(k, a, b, at)
+    first, second = row_hash(key, text)
+    keyed = plain.withColumns({a: first, b: second})
+    same = keyed[key].eqNullSafe(gone[k]) & (keyed[a] == gone[a]) & (keyed[b] == gone[b])
+    joined = keyed.join(gone, same, "left").select(*(keyed[c] for c in plain.columns), gone[at])
     lines = F.split(text, "\n", -1)
-    from_ = F.concat(F.array(F.lit(0)), F.transform("at", lambda p: p + size))
-    to = F.concat("at", F.array(F.size(lines)))
+    from_ = F.concat(F.array(F.lit(0)), F.transform(at, lambda p: p + size))
+    to = F.concat(F.col(at), F.array(F.size(lines)))
     stay = F.filter(F.zip_with(from_, to, lambda x, y: F.struct(x.alias("at"), (y - x).alias("n"))), lambda r: r["n"] > 0)
     # the outer transform binds the lines, or each range would split the text anew
     left = F.transform(F.array(lines), lambda x: F.flatten(F.transform(stay, lambda r: F.slice(x, r["at"] + 1, r["n"]))))[0]
@@ -69,8 +71,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     return joined.withColumns({
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size(lines) - kept, F.lit(0)).cast("long"),
-        text: F.when(F.col("at").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
-    }).drop("_a", "_b", "at")
+        text: F.when(F.col(at).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
+    }).drop(at)
 
 
 #: The same result in DuckDB SQL over a view `docs` with columns doc_id and text.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.arrays import TextBatch, alone, slices
-from quern.llm.common import checkpointed, row_hash, written
+from quern.llm.common import checkpointed, free, row_hash, written
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 #: Words on either side of an entity; documents a term and an entity must share; thresholds of disclosure.
@@ -281,26 +281,30 @@ def replacement(kind: int, value: str) -> str:
     return f"[{KINDS[kind].upper()}]"
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = batch.column(0).to_pylist()
-        spans = batch.column(1)
-        for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
-            text, parts, at = out[i] or "", [], 0
-            for s in spans[int(i)].as_py():
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], replacement(s["kind"], text[s["start"] : s["end"]])]
-                at = max(at, s["end"])
-            out[i] = "".join([*parts, text[at:]])
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=[*batch.schema.names[2:], "_text"])
+def _rewrite(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.column(0).to_pylist()
+            spans = batch.column(1)
+            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+                text, parts, at = out[i] or "", [], 0
+                for s in spans[int(i)].as_py():
+                    if s["start"] >= at:
+                        parts += [text[at : s["start"]], replacement(s["kind"], text[s["start"] : s["end"]])]
+                    at = max(at, s["end"])
+                out[i] = "".join([*parts, text[at:]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=[*batch.schema.names[2:], name])
+
+    return run
 
 
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every span of the text replaced by its kind, generalised or removed."""
-    found = detect(docs, text, key).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_k"), "_a", "_b").agg(F.first("spans").alias("_spans"))
-    a, b = row_hash(key, text)
-    keyed = docs.withColumns({"_a": a, "_b": b})
-    same = keyed[key].eqNullSafe(found["_k"]) & (keyed["_a"] == found["_a"]) & (keyed["_b"] == found["_b"])
-    joined = keyed.join(found, same, "left").select(F.col(text).alias("_old"), "_spans", *(keyed[c] for c in docs.columns if c != text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "_text string"])
-    return joined.mapInArrow(_rewrite, schema).withColumnRenamed("_text", text).select(*docs.columns)
+    k, a, b, spans, old, new = free(docs, "_k", "_a", "_b", "_spans", "_old", "_new")
+    found = detect(docs, text, key).where(F.size("spans") > 0).groupBy("doc_id", "_a", "_b").agg(F.first("spans")).toDF(k, a, b, spans)
+    first, second = row_hash(key, text)
+    keyed = docs.withColumns({a: first, b: second})
+    same = keyed[key].eqNullSafe(found[k]) & (keyed[a] == found[a]) & (keyed[b] == found[b])
+    joined = keyed.join(found, same, "left").select(keyed[text].alias(old), spans, *(keyed[c] for c in docs.columns if c != text))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"`{new}` string"])
+    return joined.mapInArrow(_rewrite(new), schema).withColumnRenamed(new, text).select(*docs.columns)

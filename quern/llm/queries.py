@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": jaccard_join.SQL.format(docs="documents"),
     "op7_line_dedup": line_dedup.SQL.format(docs="documents"),
     "op8_warc": warc.SQL,
 }

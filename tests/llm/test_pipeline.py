@@ -50,6 +50,35 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == near
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty and very long texts, ids of several texts, further columns and empty
+    tables go through every stage."""
+    r = random.Random(6)
+    prose = lambda n: "\n".join(" ".join(r.choice(WORDS) for _ in range(14)) for _ in range(n))
+    twice, long_ = prose(6), prose(4000)
+    rows = [(1, twice, "en", "s"), (1, twice, "en", "s"), (1, prose(6), None, None), (None, prose(6), "en", None), (None, None, None, None), (2, None, "en", "s"), (3, "", "en", "s"), (4, long_, "en", "s"), (5, twice, "en", "t"), (6, prose(6), "xx", "s"), (7, prose(6) + "\n" + prose(6), "en", "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, at string, node long, bin long, _a long, moved long, n_tokens long"
+    clash = ("kept", "spans", "at", 1, 2, 3, 4, 5)
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), *clash) for x in rows], schema)
+    for start in (docs, docs.limit(0)):
+        kept, seen = start, {}
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, kept, str(tmp_path))
+            if n < 4:
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"o{n}_{start is docs}")
+            out.write.parquet(path)
+            kept = spark.read.parquet(path)
+            seen[name] = sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect())
+        if start is not docs:
+            assert all(not x for x in seen.values())
+            continue
+        # no words and too few of them go; rows that repeat are one document, which has its twin under another id
+        assert seen["quality rules"] == [(False, i) for i in (1, 1, 1, 4, 5, 6, 7)] + [(True, 0)]
+        assert seen["n-gram Jaccard join"] == [(False, i) for i in (1, 1, 4, 6, 7)] + [(True, 0)] == seen["PII"]
+        assert set(seen["best-fit packing"]) == set(seen["PII"])
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))

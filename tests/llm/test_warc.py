@@ -51,3 +51,19 @@ def test_declared_digest_is_checked(spark):
     broken = W._gzip(W.warc_record("u", "20200102030405", 1, b"abc", "0" * 64, None, False))
     with pytest.raises(Exception, match="does not have the payload"):
         W.read_warc(spark.createDataFrame([(bytearray(broken),)], "archive binary")).collect()
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "http://a", "x" * 200), (1, "http://a", "x" * 200), (2, None, "x" * 200), (3, "http://c", None), (None, "http://d", "y" * 200)]
+    pages = spark.createDataFrame([(*x, "archive", "d", 7) for x in rows], "page_id long, url string, html string, archive string, digest string, size long").repartition(3)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.archived(pages).collect()), key=repr)
+    assert got == sorted([(1, 200, "response", None)] * 2 + [(2, 200, "revisit", 1), (3, 0, "response", None), (None, 200, "response", None)], key=repr)
+
+
+def test_reading_takes_windows(monkeypatch):
+    monkeypatch.setattr(W, "_WINDOW", 7)
+    records = [W.warc_record("http://a", "20240101000000", i, b"p" * i * 50, "d", None, False) for i in range(9)]
+    data = b"".join(map(W._gzip, records))
+    assert [f["content-length"] for f, _ in W.warc_records(data)] == [str(len(W._http(i, i * 50)) + i * 50) for i in range(9)]
+    with pytest.raises(ValueError, match="cut short"):
+        list(W.warc_records(data[:-3]))
