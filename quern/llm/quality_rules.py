@@ -44,7 +44,7 @@ class Band:
 
 
 #: Bands by language code, then by script, then the one for anything else. Curves are least squares over texts of
-#: good quality; a deficit and the least characters per token leave out fewer than one in 200 of them.
+#: good quality; the deficits and least characters per token leave out about one in 200 of them.
 BANDS: dict[str, Band] = {
     "en": Band((2.07, 6.5), 0.05, (1.206, 0.940, -0.038), 0.29),
     "de": Band((2.15, 6.5), 0.05, (1.780, 0.824, -0.033), 0.25),
