@@ -556,3 +556,9 @@ def counters(spark, d):
     watched.write.format("noop").mode("overwrite").save()
     got = seen.get
     return spark.createDataFrame([tuple(got[k] for k in ("finished", "price_count", "price_max", "price_min"))], "finished long, price_count long, price_max double, price_min double")
+
+
+# The same functions under the names of the first module's queries.
+ORACLE_SQL["murmur3"] = ORACLE_SQL["murmur3_text"]
+ORACLE_SQL["fnv_shard"] = f"SELECT p_partkey, shard FROM ({ORACLE_SQL['fnv_text']})"
+ORACLE_SQL["token_bucket"] = f"SELECT e.event_id, e.user_id, e.ts, 1.0::DOUBLE AS tokens, f.throttled FROM events e JOIN ({ORACLE_SQL['token_bucket_requests']}) f ON f.event_id = e.event_id"
