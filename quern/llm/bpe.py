@@ -50,7 +50,8 @@ WITH RECURSIVE tokens(round, word, pos, code) AS (
    SELECT t.round + 1, t.word, t.pos, CASE WHEN t.pos = (x >> 16) & {_POSITIONS} THEN ((x & 255) << 16) + (x >> 46) ELSE t.code END
    FROM tokens t JOIN best USING (word)
    WHERE t.pos <> ((x >> 16) & {_POSITIONS}) + ((x >> 8) & 255)))
-SELECT word, code & 65535 AS id FROM tokens QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
+, last AS (SELECT word, max(round) AS round FROM tokens GROUP BY word)
+SELECT word, code & 65535 AS id FROM tokens JOIN last USING (word, round) ORDER BY word, pos
 """
 _DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab USING (id) GROUP BY word ORDER BY word"
 
