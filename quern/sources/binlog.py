@@ -35,6 +35,10 @@ HEADER = struct.Struct("<IBIIIH")
 
 EVENT = "file string, position long, timestamp long, type int, server_id long, length long, next_position long, flags int, body binary, error string"
 _NAMES = [c.split()[0] for c in EVENT.split(", ")]
+#: What framing whole files adds: with row events the body of the table map in force.
+FRAMED = f"{EVENT}, map binary"
+#: Events, and bytes of their bodies and maps, of a batch.
+BATCH_ROWS, BATCH_BYTES = 5000, 1 << 22
 
 
 def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool = False) -> Iterator[tuple]:
@@ -70,28 +74,33 @@ def read(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
 
 
 def events_of(files: DataFrame, verify: bool = False) -> DataFrame:
-    """The events of files given as rows (path, content)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify)
-                held: list[tuple] = []
-                for row in rows:
-                    held.append((name, *row))
-                    if len(held) == 5000:
-                        yield _batch(held)
-                        held = []
-                if held:
+    """The events of files given as rows (path, content), with map: the body of the table map in force at a row event."""
+    return files.mapInArrow(lambda batches: framed(batches, verify), FRAMED)
+
+
+def framed(batches: Iterator[pa.RecordBatch], verify: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of events, which run on from file to file, so that many small files cost no more than one large one."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, table = content.as_py(), None
+            rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify)
+            for row in rows:
+                table = row[7] if row[2] == TABLE_MAP else table
+                known = table if row[2] in OPERATIONS else None
+                held.append((name, *row, known))
+                size += len(row[7]) + len(known or b"")
+                if len(held) == BATCH_ROWS or size >= BATCH_BYTES:
                     yield _batch(held)
-
-    return files.mapInArrow(run, EVENT)
+                    held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_NAMES, "map"])
 
 
 def little_endian(c: Column, at: int, size: int) -> Column:
@@ -426,16 +435,19 @@ def changes(events: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """file, position, row, database, table, operation, before, after (arrays of text), error and extra (the bytes that
     rows of version 2 carry), one row per row image. The map in force is the last of the file before the event.
 
-    Only places go through the file's window; bodies are dealt by event, so that one large file is decoded by
-    many tasks.
+    Events of whole files bring that map with them. For others, such as those of a tail, the maps alone go through the
+    file's window, with the places of events. Bodies are dealt by event, so that one large file is decoded by many
+    tasks.
     """
-    w = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     rows = events.where(F.col("type").isin(TABLE_MAP, *OPERATIONS))
     is_map = F.col("type") == TABLE_MAP
-    places = rows.select("file", "position", "type").withColumn("_map", F.last(F.when(is_map, F.col("position")), ignorenulls=True).over(w)).where(~is_map).drop("type")
-    bodies = rows.where(~is_map).select("file", "position", "type", "body").join(places, ["file", "position"])
-    maps = rows.where(is_map).select("file", F.col("position").alias("_map"), F.col("body").alias("map"))
-    joined = bodies.join(maps, ["file", "_map"], "left")
+    bodies = rows.where(~is_map)
+    if "map" in events.columns:
+        joined = bodies.select("file", "position", "type", "body", "map").repartition("file", "position")
+    else:
+        w = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+        places = rows.select("file", "position", "type", F.when(is_map, F.col("body")).alias("_m")).withColumn("map", F.last("_m", ignorenulls=True).over(w)).where(~is_map).select("file", "position", "map")
+        joined = bodies.select("file", "position", "type", "body").join(places, ["file", "position"])
     names = ["file", "position", "row", "database", "table", "operation", "before", "after", "error", "extra"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.binary()]
 

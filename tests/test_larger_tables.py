@@ -1,9 +1,12 @@
 """Queries on tables with what only larger copies of the test tables hold, against their SQL in DuckDB."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from quern.plans import more, queries
+from quern.sources import binlog as B
+from quern.sources.logwriter import LogWriter
 from test_queries import _norm
 
 QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
@@ -31,3 +34,31 @@ def test_upsert_where_shifted_keys_are_taken(equals_sql):
     rows = "(5, 1, 'F', 1e1), (1000005, 2, 'O', 2e1), (6, 3, 'F', 3e1), (1000006, 4, 'P', 4e1), (7, 5, 'F', 5e1)"
     got = equals_sql("upsert", orders=f"SELECT * FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_orderstatus, o_totalprice)")
     assert len(got) == 8
+
+
+def _log(*table_ids):
+    w = LogWriter()
+    for i in table_ids:
+        w.table_map(i, "d", f"t{i}", [3], b"", [False])
+        w.rows(B.WRITE_V2, i, 1, [([False], i.to_bytes(4, "little"))])
+    return bytes(w.data)
+
+
+def _events(spark, *logs):
+    return B.events_of(spark.createDataFrame([(f"f{i}", bytearray(x)) for i, x in enumerate(logs)], "path string, content binary"))
+
+
+def test_small_files_share_batches():
+    files = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(900)]), pa.array([_log(1)] * 900, pa.binary())], names=["path", "content"])
+    batches = list(B.framed(iter([files, files])))
+    assert [b.num_rows for b in batches] == [B.BATCH_ROWS, 1800 * 3 - B.BATCH_ROWS]
+
+
+def test_changes_read_events_once(spark):
+    events = _events(spark, _log(1, 2, 1), _log(3), _log())
+    log = B.changes(events, "FAILFAST")
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 2
+    rows = sorted((r.file, r.table, r.after) for r in log.collect())
+    assert rows == [("f0", "t1", ["1"]), ("f0", "t1", ["1"]), ("f0", "t2", ["2"]), ("f1", "t3", ["3"])]
+    assert rows == sorted((r.file, r.table, r.after) for r in B.changes(events.drop("map"), "FAILFAST").collect())
