@@ -234,10 +234,11 @@ def checked_rotations(events: DataFrame, prefix: str) -> DataFrame:
 def relayed(events: DataFrame) -> DataFrame:
     """Events of relay logs without what the relay itself wrote: the first format event of each file, and
     rotations whose header says they were not sent on (a timestamp other than 0)."""
-    first = events.where(F.col("type") == FORMAT).groupBy("file").agg(F.min("position").alias("_p"))
     own = (F.col("type") == ROTATE) & (F.col("timestamp") != 0)
-    joined = events.join(first, "file", "left")
-    return joined.where(~own & ~((F.col("type") == FORMAT) & (F.col("position") == F.col("_p")))).select(*events.columns)
+    is_format = F.col("type") == FORMAT
+    # a file's format events meet in one group, every other event is a group of its own
+    w = Window.partitionBy("file", F.when(is_format, F.lit(-1).cast("long")).otherwise(F.col("position"))).orderBy("position")
+    return events.where(~own).withColumn("_nth", F.rank().over(w)).where(~is_format | (F.col("_nth") > 1)).select(*events.columns)
 
 
 def event_name(kind: Column) -> Column:

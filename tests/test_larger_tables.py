@@ -62,3 +62,15 @@ def test_changes_read_events_once(spark):
     rows = sorted((r.file, r.table, r.after) for r in log.collect())
     assert rows == [("f0", "t1", ["1"]), ("f0", "t1", ["1"]), ("f0", "t2", ["2"]), ("f1", "t3", ["3"])]
     assert rows == sorted((r.file, r.table, r.after) for r in B.changes(events.drop("map"), "FAILFAST").collect())
+
+
+def test_relayed_reads_events_once(spark):
+    w = LogWriter()
+    w.xid(1)
+    w.format(False)
+    w.rotate("log.000002")
+    w.xid(2)
+    kept = B.relayed(_events(spark, bytes(w.data), bytes(LogWriter().data)))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert [(r.file, r.type) for r in kept.orderBy("file", "position").collect()] == [("f0", B.XID), ("f0", B.FORMAT), ("f0", B.XID)]
