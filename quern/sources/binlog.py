@@ -220,13 +220,15 @@ def rotations(events: DataFrame) -> DataFrame:
 
 
 def checked_rotations(events: DataFrame, prefix: str) -> DataFrame:
-    """rotations with error: a file's rotation must name the prefix and the number after its own, 999999 before 0."""
-    number = lambda c: F.regexp_extract(c, r"([0-9]{6})$", 1)
-    own, new = number(F.col("file")), number(F.col("new_file"))
+    """rotations with error: a file's rotation must name the prefix and the number after its own, 999999 before 0.
+    Numbers have six digits, or more where files are already numbered beyond 999999."""
+    digits = F.substring(F.col("new_file"), F.lit(len(prefix) + 1), F.length("new_file"))
+    named = F.regexp_extract("file", rf"\Q{prefix}\E([0-9]{{6,}})$", 1)
+    own = F.when(named != "", named).otherwise(F.regexp_extract("file", r"([0-9]{6})$", 1)).try_cast("long")
     wrong = (
-        F.when(~F.startswith("new_file", F.lit(prefix)) | (F.length("new_file") != len(prefix) + 6), "wrong prefix")
-        .when(new == "", "wrong number")
-        .when(new.cast("int") != (own.cast("int") + 1) % 1_000_000, "not the next file")
+        F.when(~F.startswith("new_file", F.lit(prefix)) | (F.length(digits) != 6) & ~F.rlike(digits, F.lit("^[1-9][0-9]{6,}$")), "wrong prefix")
+        .when(~F.rlike(digits, F.lit("^[0-9]+$")), "wrong number")
+        .when(~F.coalesce(digits.try_cast("long") == F.when(own == 999_999, 0).otherwise(own + 1), F.lit(False)), "not the next file")
     )
     return rotations(events).withColumn("error", wrong)
 

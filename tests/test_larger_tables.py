@@ -74,3 +74,18 @@ def test_relayed_reads_events_once(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 1
     assert [(r.file, r.type) for r in kept.orderBy("file", "position").collect()] == [("f0", B.XID), ("f0", B.FORMAT), ("f0", B.XID)]
+
+
+def test_rotations_past_a_million(spark, equals_sql):
+    got = equals_sql("log_rotations", customer="SELECT i AS c_custkey, 'X' AS c_mktsegment FROM range(999997, 1000003) t(i)")
+    assert sum(r.endswith("None") for r in got) == 3
+    names = {"f.0999999": "f.1000000", "f.1000000": "f.000001", "f.000001": "f.0000002", "f.000003": "f.00000x", "f.000004": "f.000005x", "f.000006": "f.x000007", "f.1999999": "f.2000000"}
+    files = []
+    for name, target in names.items():
+        w = LogWriter()
+        w.rotate(target)
+        files.append((name, bytearray(w.data)))
+    events = B.events_of(spark.createDataFrame(files, "path string, content binary"))
+    assert {r.file: r.error for r in B.checked_rotations(events, "f.").collect()} == {
+        "f.0999999": "not the next file", "f.1000000": "not the next file", "f.000001": "wrong prefix", "f.000003": "wrong number", "f.000004": "wrong prefix", "f.000006": "wrong prefix", "f.1999999": None,
+    }
