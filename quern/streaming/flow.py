@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quern.functions.durable import checkpointed
 
@@ -52,22 +54,24 @@ def ring_lookup(keys: DataFrame, ring: DataFrame, key_hash: str = "key_hash") ->
 
     Keys and positions are sorted together by range, so no key meets more than its own stretch of the ring:
     the next position is a window within each range, and what lies beyond a range's last position takes the
-    first of the following ranges, a table of one row per range.
+    first of the following ranges, a table of one row per range. Of nodes at one position the least counts.
     """
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = keys.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = ring.select(F.col("position").alias("_h"), F.lit(1).alias("_own"), F.col("node").alias("_node"))
     both = keys.withColumn("_h", F.col(key_hash)).withColumns({"_own": F.lit(0), "_node": F.lit(None).cast(ring.schema["node"].dataType)}).unionByName(nodes, allowMissingColumns=True)
-    cuts = both.stat.approxQuantile("_h", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    place = F.lit(0)
-    for c in sorted(set(cuts)):
-        place = place + F.when(F.col("_h") > c, 1).otherwise(0)
-    dealt = both.withColumn("_r", place)
-    first = dealt.where("_own = 1").groupBy("_r").agg(F.min_by("_node", "_h").alias("_f"))
-    every = dealt.select("_r").distinct().join(first, "_r", "left")
+    cuts = np.array(sorted(set(both.stat.approxQuantile("_h", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else [])))
+
+    @pandas_udf("long")
+    def place(h: pd.Series) -> pd.Series:
+        return pd.Series(np.where(h.isna(), 0, np.searchsorted(cuts, h.to_numpy())))
+
+    first = nodes.withColumn("_r", place("_h")).groupBy("_r").agg(F.min_by("_node", F.struct("_h", "_node")).alias("_f"))
+    every = spark.range(len(cuts) + 1).toDF("_r").join(first, "_r", "left")
     after = F.first("_f", ignorenulls=True).over(Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing))  # one row per range
     beyond = every.withColumn("_after", after).withColumn("_wrap", F.first("_f", ignorenulls=True).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    nearest = F.last("_node", ignorenulls=True).over(Window.partitionBy("_r").orderBy(F.desc("_h"), F.desc("_own")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = dealt.withColumn("_next", nearest).where("_own = 0").join(F.broadcast(beyond.select("_r", "_after", "_wrap")), "_r", "left")
+    nearest = F.last("_node", ignorenulls=True).over(Window.partitionBy("_r").orderBy(F.desc("_h"), F.desc("_own"), F.desc("_node")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_r", place("_h")).withColumn("_next", nearest).where("_own = 0").join(F.broadcast(beyond.select("_r", "_after", "_wrap")), "_r", "left")
     return found.select(*keys.columns, F.coalesce("_next", "_after", "_wrap").alias("node"))
 
 
@@ -87,15 +91,15 @@ def round_robin(requests: DataFrame, count: int, order: Sequence[str]) -> DataFr
 
 def nearest_nodes(keys: DataFrame, ring: DataFrame, k: int, key_hash: str = "key_hash") -> DataFrame:
     """keys with nodes: the k nodes that follow their hash on the ring, those marked down (column down) left out. Each
-    node's followers are found on the ring, a table of one row per node, then keys take those of their own node."""
+    node's followers are found on the ring, a table of one row per node, and looked up in its stead."""
     up = ring.where(~F.coalesce("down", F.lit(False))) if "down" in ring.columns else ring
     size = up.count()
     at = F.row_number().over(Window.orderBy("position", "node")) - 1  # the ring: as many rows as there are nodes
     placed = up.select("node", "position", at.alias("_i"))
     later = placed.select(F.col("_i").alias("_j"), F.col("node").alias("_next"))
-    steps = placed.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(min(k, size) - 1, 0))), lambda d: F.struct(d.alias("d"), ((F.col("_i") + d) % max(size, 1)).alias("_j")))).alias("s"))
-    follow = steps.select("node", "s.d", "s._j").join(later, "_j").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "_next"))), lambda x: x["_next"]).alias("nodes"))
-    return ring_lookup(keys, up.select("node", "position"), key_hash).join(follow, "node", "left").select(*keys.columns, "nodes")
+    steps = placed.select("position", "_i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(min(k, size) - 1, 0))), lambda d: F.struct(d.alias("d"), ((F.col("_i") + d) % max(size, 1)).alias("_j")))).alias("s"))
+    follow = steps.select("position", "_i", "s.d", "s._j").join(later, "_j").groupBy("_i", "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "_next"))), lambda x: x["_next"]).alias("node"))
+    return ring_lookup(keys, follow.select("node", "position"), key_hash).withColumnRenamed("node", "nodes")
 
 
 def observed(df: DataFrame, name: str, counters: dict[str, Column], summaries: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:

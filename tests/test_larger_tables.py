@@ -7,6 +7,7 @@ import pytest
 from quern.plans import more, queries
 from quern.sources import binlog as B
 from quern.sources.logwriter import LogWriter
+from quern.streaming import flow
 from test_queries import _norm
 
 QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
@@ -89,3 +90,18 @@ def test_rotations_past_a_million(spark, equals_sql):
     assert {r.file: r.error for r in B.checked_rotations(events, "f.").collect()} == {
         "f.0999999": "not the next file", "f.1000000": "not the next file", "f.000001": "wrong prefix", "f.000003": "wrong number", "f.000004": "wrong prefix", "f.000006": "wrong prefix", "f.1999999": None,
     }
+
+
+def test_ring_of_shared_positions_over_many_ranges(spark):
+    ring = spark.createDataFrame([(10, "b"), (10, "a"), (20, "c"), (30, "a")], "position long, node string")
+    keys = spark.createDataFrame([(0, 5), (1, 10), (2, 11), (3, 25), (4, 31), (5, None)], "k int, key_hash long")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = flow.ring_lookup(keys, ring)
+        assert [r.node for r in found.orderBy("k").collect()] == ["a", "a", "c", "a", "a", "a"]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 10
+        near = flow.nearest_nodes(keys, ring, 3).orderBy("k").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert [r.nodes for r in near] == [["a", "b", "c"], ["a", "b", "c"], ["c", "a", "a"], ["a", "a", "b"], ["a", "b", "c"], ["a", "b", "c"]]
