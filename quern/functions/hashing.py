@@ -144,17 +144,24 @@ def _words(c: Column) -> list[Column]:
     h = F.sha2(c.cast("binary"), 256)
     out = []
     for i in range(8):
-        parts = [F.substring(h, 8 * i + 2 * b + 1, 2) for b in reversed(range(4))]
-        out.append(F.conv(F.concat(*parts), 16, 10).cast("long"))
+        n = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
+        low, next_ = n.bitwiseAND(0xFF), F.shiftright(n, 8).bitwiseAND(0xFF)
+        out.append(F.shiftleft(low, 24) + F.shiftleft(next_, 16) + F.shiftright(n, 16).bitwiseAND(0xFF) * 256 + F.shiftright(n, 24))
     return out
 
 
 def digest_state(c: Column, sign: Column | int = 1) -> Column:
     """Aggregate: the order-independent state of a multiset, eight words each modulo its prime; sign -1 removes an
-    item. Sums are exact decimals, so partial states of any partitioning add up alike."""
+    item. Sums are exact, so partial states of any partitioning add up alike: each word's upper and lower 16 bits are
+    summed by themselves, as longs, for up to 2^46 rows. A null item is null in all of them, without a condition, so
+    that Spark computes an item's hash once for all sums."""
     weight = sign if isinstance(sign, Column) else F.lit(sign)
-    sums = [F.sum(F.when(c.isNotNull(), (w % p * weight).cast("decimal(20,0)"))) for w, p in zip(_words(c), PRIMES, strict=True)]
-    return F.array(*(F.pmod(F.coalesce(s, F.lit(0).cast("decimal(30,0)")), F.lit(p).cast("decimal(20,0)")).cast("long") for s, p in zip(sums, PRIMES, strict=True)))
+    out = []
+    for w, p in zip(_words(c), PRIMES, strict=True):
+        x, prime = w % p * weight, F.lit(p).cast("long")
+        high, low = (F.coalesce(F.sum(part), F.lit(0).cast("long")) for part in (F.shiftright(x, 16), x.bitwiseAND(0xFFFF)))
+        out.append(F.pmod(F.pmod(high, prime) * 65536 + F.pmod(low, prime), prime))
+    return F.array(*out)
 
 
 def combine_states(state: Column) -> Column:
@@ -163,7 +170,9 @@ def combine_states(state: Column) -> Column:
 
 
 def subtract_states(a: Column, b: Column) -> Column:
-    return F.array(*(F.pmod(a[i] - b[i], F.lit(p).cast("long")) for i, p in enumerate(PRIMES)))
+    """The state of a without b; a null state is that of the empty multiset."""
+    some = lambda w: F.coalesce(w, F.lit(0).cast("long"))
+    return F.array(*(F.pmod(some(a[i]) - some(b[i]), F.lit(p).cast("long")) for i, p in enumerate(PRIMES)))
 
 
 def state_digest(state: Column) -> Column:

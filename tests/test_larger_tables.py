@@ -3,7 +3,9 @@
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from quern.functions import hashing as H
 from quern.plans import more, queries
 from quern.sources import binlog as B
 from quern.sources.logwriter import LogWriter
@@ -105,3 +107,19 @@ def test_ring_of_shared_positions_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
     assert [r.nodes for r in near] == [["a", "b", "c"], ["a", "b", "c"], ["c", "a", "a"], ["a", "a", "b"], ["a", "b", "c"], ["a", "b", "c"]]
+
+
+def test_digests_hash_each_item_once(spark):
+    df = spark.range(100).selectExpr("id % 3 g", "if(id > 5, cast(id as string), null) x")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.groupBy("g").agg(H.digest_state(F.col("x")).alias("s"))._jdf.queryExecution()
+        code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert code.count("DigestUtils.sha256Hex") == 1
+
+
+def test_digest_of_groups_that_lose_nothing(equals_sql):
+    rows = "(1, 'a', 'F'), (2, 'a', 'O'), (3, 'b', 'O'), (4, 'b', 'P')"
+    equals_sql("digest_subtract", orders=f"SELECT * FROM (VALUES {rows}) t(o_orderkey, o_orderpriority, o_orderstatus)")
