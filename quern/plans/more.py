@@ -270,7 +270,8 @@ def random_draws(spark, d):
 
 
 # Change logs. Each row of a table is written as a log file of its own, in tasks that rows are dealt to by their first
-# column, as the table may lie in one piece.
+# column, as the table may lie in one piece. Their number is given: rows are small beside the work on them, and by
+# their bytes adaptive execution would put them into a few tasks.
 
 _FILES = "path string, content binary"
 
@@ -286,10 +287,13 @@ def _logs(rows: DataFrame, write: Callable[[LogWriter, tuple], None], name: Call
                 contents.append(bytes(w.data))
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
 
-    return rows.repartition(rows.columns[0]).mapInArrow(run, _FILES)
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, rows.columns[0]).mapInArrow(run, _FILES)
 
 
-def _customer_events(spark, d) -> DataFrame:
+def _customer_events(spark, d, *types: int) -> DataFrame:
+    """The events of a log file of each customer, of the given types or all."""
+
     def write(w: LogWriter, row: tuple) -> None:
         key, segment = row
         w.previous_gtids({hashlib.md5(str(key).encode()).digest(): [(1, key + 1)]})
@@ -301,7 +305,7 @@ def _customer_events(spark, d) -> DataFrame:
         w.stop()
 
     rows = Parquet(spark, d)["customer"].select("c_custkey", "c_mktsegment")
-    return binlog.events_of(_logs(rows, write, lambda row: f"log.{row[0]:06d}"))
+    return binlog.events_of(_logs(rows, write, lambda row: f"log.{row[0]:06d}"), types=types or None)
 
 
 _LOG = "printf('log.%06d', c_custkey)"
@@ -320,7 +324,7 @@ def log_queries(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, c_custkey AS sql_mode, 'UTC' AS time_zone, ['a', 'b'] AS updated_databases, c_custkey & 4 <> 0 AS third, CAST(NULL AS VARCHAR) AS error FROM customer")
 def log_query_status(spark, d):
-    got = binlog.query_status(_customer_events(spark, d))
+    got = binlog.query_status(_customer_events(spark, d, binlog.QUERY))
     return got.select("file", F.col("sql_mode").cast("long").alias("sql_mode"), "time_zone", "updated_databases", binlog.mode_enabled(F.col("sql_mode"), 2).alias("third"), "error")
 
 

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,9 +42,10 @@ FRAMED = f"{EVENT}, map binary"
 BATCH_ROWS, BATCH_BYTES = 5000, 1 << 22
 
 
-def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool = False) -> Iterator[tuple]:
+def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool = False, types: Collection[int] | None = None) -> Iterator[tuple]:
     """(position, header fields, body, error) of the whole events from `at` on; a partial last event is left out.
-    checksum: bytes of checksum after bodies, None while no format event has told."""
+    checksum: bytes of checksum after bodies, None while no format event has told. types: event types to give, None
+    for all; other events are stepped over."""
     while at + 19 <= len(data):
         ts, kind, server, size, following, flags = HEADER.unpack_from(data, at)
         if size < 19:
@@ -51,43 +53,57 @@ def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool =
             return
         if at + size > len(data):
             return
+        if types is not None and kind not in types and kind != FORMAT:
+            at += size
+            continue
         body, error = data[at + 19 : at + size], None
         if kind == FORMAT:
             checksum = _checksum_size(body)
         cut = 4 if checksum else 0
         if cut and verify and zlib.crc32(data[at : at + size - 4]) != int.from_bytes(body[-4:], "little"):
             error = "checksum does not fit"
-        yield (at, ts, kind, server, size, following, flags, body[: len(body) - cut], error)
+        if types is None or kind in types:
+            yield (at, ts, kind, server, size, following, flags, body[: len(body) - cut], error)
         at += size
 
 
 def _checksum_size(format_body: bytes) -> int:
     """4 where the format event says CRC32; versions before 5.6 have no checksum byte."""
-    version = format_body[2:52].rstrip(b"\0").decode("latin-1")
-    numbers = [int("".join(c for c in p if c.isdigit()) or 0) for p in version.split(".")[:3]]
-    return 4 if numbers >= [5, 6, 1] and len(format_body) > 57 + 5 and format_body[-5] == 1 else 0
+    return 4 if _version_of(format_body[2:52]) >= (5, 6, 1) and len(format_body) > 57 + 5 and format_body[-5] == 1 else 0
 
 
-def read(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
-    """All events of the log files under path, on any store that Spark reads; a file is the unit of work."""
-    return events_of(spark.read.format("binaryFile").load(path).select("path", "content"), verify)
+@lru_cache(maxsize=64)
+def _version_of(text: bytes) -> tuple[int, ...]:
+    version = text.rstrip(b"\0").decode("latin-1")
+    return tuple(int("".join(c for c in p if c.isdigit()) or 0) for p in version.split(".")[:3])
 
 
-def events_of(files: DataFrame, verify: bool = False) -> DataFrame:
-    """The events of files given as rows (path, content), with map: the body of the table map in force at a row event."""
-    return files.mapInArrow(lambda batches: framed(batches, verify), FRAMED)
+def read(spark: SparkSession, path: str, verify: bool = False, types: Collection[int] | None = None) -> DataFrame:
+    """The events of the log files under path, on any store that Spark reads; a file is the unit of work."""
+    return events_of(spark.read.format("binaryFile").load(path).select("path", "content"), verify, types)
 
 
-def framed(batches: Iterator[pa.RecordBatch], verify: bool = False) -> Iterator[pa.RecordBatch]:
+def events_of(files: DataFrame, verify: bool = False, types: Collection[int] | None = None) -> DataFrame:
+    """The events of files given as rows (path, content), with map: the body of the table map in force at a row event.
+    types: the event types wanted, None for all. Every file is walked through whole; rows that say where one cannot be
+    read on stay."""
+    return files.mapInArrow(lambda batches: framed(batches, verify, types), FRAMED)
+
+
+def framed(batches: Iterator[pa.RecordBatch], verify: bool = False, types: Collection[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of events, which run on from file to file, so that many small files cost no more than one large one."""
+    # row events need the maps before them
+    walked = None if types is None else {*types, TABLE_MAP} if OPERATIONS.keys() & set(types) else set(types)
     held: list[tuple] = []
     size = 0
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, table = content.as_py(), None
-            rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify)
+            rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify, types=walked)
             for row in rows:
                 table = row[7] if row[2] == TABLE_MAP else table
+                if types is not None and row[2] not in types and row[8] is None:
+                    continue
                 known = table if row[2] in OPERATIONS else None
                 held.append((name, *row, known))
                 size += len(row[7]) + len(known or b"")

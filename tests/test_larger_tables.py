@@ -13,6 +13,7 @@ from quern.streaming import flow
 from test_queries import _norm
 
 QUERIES, ORACLE_SQL = queries.QUERIES | more.QUERIES, queries.ORACLE_SQL | more.ORACLE_SQL
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -123,3 +124,30 @@ def test_digests_hash_each_item_once(spark):
 def test_digest_of_groups_that_lose_nothing(equals_sql):
     rows = "(1, 'a', 'F'), (2, 'a', 'O'), (3, 'b', 'O'), (4, 'b', 'P')"
     equals_sql("digest_subtract", orders=f"SELECT * FROM (VALUES {rows}) t(o_orderkey, o_orderpriority, o_orderstatus)")
+
+
+@pytest.mark.parametrize("name, types", [("log_query_status", {B.QUERY})])
+def test_log_files_are_dealt_to_all_tasks(spark, monkeypatch, name, types):
+    """Also where their rows have few bytes; framing gives the events that the query reads."""
+    seen, real = [], B.events_of
+    monkeypatch.setattr(B, "events_of", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    QUERIES[name](spark, SMALL)
+    got = seen[0].select("file", "type", F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in got}) >= spark.sparkContext.defaultParallelism
+    assert {r.type for r in got} == types and len(got) == len({r.file for r in got}) * len(types)
+
+
+def test_framing_by_type_is_a_filter(spark):
+    w = LogWriter(checksum=True)
+    w.xid(1)
+    w.table_map(1, "d", "t", [3], b"", [False])
+    w.format(False)
+    w.rows(B.WRITE_V2, 1, 1, [([False], bytes(4))])
+    w.xid(2)
+    short = bytes(w.data) + B.HEADER.pack(0, B.XID, 1, 7, 0, 0)
+    files = spark.createDataFrame([("a", bytearray(w.data)), ("b", bytearray(short)), ("c", bytearray(b"none")), ("d", bytearray(w.data[:-3]))], "path string, content binary")
+    every = B.events_of(files, verify=True).collect()
+    for types in [{B.XID}, {B.WRITE_V2}, {B.TABLE_MAP}, {B.FORMAT, B.XID}, {B.TABLE_MAP, B.WRITE_V2}, set()]:
+        wanted = [r for r in every if r.type in types or r.error]
+        assert B.events_of(files, verify=True, types=types).collect() == wanted
+    assert {bytes(r.map) for r in every if r.type == B.WRITE_V2} == {bytes(r.body) for r in every if r.type == B.TABLE_MAP}
