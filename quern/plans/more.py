@@ -345,7 +345,7 @@ def log_transactions(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, 'row ' || c_mktsegment AS statement FROM customer")
 def log_row_queries(spark, d):
-    return binlog.row_queries(_customer_events(spark, d)).select("file", "statement")
+    return binlog.row_queries(_customer_events(spark, d, binlog.ROWS_QUERY)).select("file", "statement")
 
 
 @_query(f"SELECT {_LOG} AS file, printf('log.%06d', c_custkey + 1 + c_custkey % 2) AS new_file, 4::BIGINT AS new_position, CASE WHEN c_custkey % 2 = 1 THEN 'not the next file' END AS error FROM customer")
