@@ -319,7 +319,7 @@ def log_event_types(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, 7::BIGINT AS thread_id, 'db' AS database, 'touch ' || CAST(c_custkey AS VARCHAR) AS statement FROM customer")
 def log_queries(spark, d):
-    return binlog.queries(_customer_events(spark, d)).select("file", "thread_id", "database", "statement")
+    return binlog.queries(_customer_events(spark, d, binlog.QUERY)).select("file", "thread_id", "database", "statement")
 
 
 @_query(f"SELECT {_LOG} AS file, c_custkey AS sql_mode, 'UTC' AS time_zone, ['a', 'b'] AS updated_databases, c_custkey & 4 <> 0 AS third, CAST(NULL AS VARCHAR) AS error FROM customer")
