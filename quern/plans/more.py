@@ -340,7 +340,7 @@ def log_previous_gtids(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, c_custkey * 3 AS xid FROM customer")
 def log_transactions(spark, d):
-    return binlog.transactions(_customer_events(spark, d)).select("file", F.col("xid").cast("long").alias("xid"))
+    return binlog.transactions(_customer_events(spark, d, binlog.XID)).select("file", F.col("xid").cast("long").alias("xid"))
 
 
 @_query(f"SELECT {_LOG} AS file, 'row ' || c_mktsegment AS statement FROM customer")
