@@ -330,7 +330,7 @@ def log_query_status(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, true AS commit, {_SID} AS sid, c_custkey AS number FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS m FROM customer)")
 def log_gtids(spark, d):
-    return binlog.gtids(_customer_events(spark, d)).where("error is null").select("file", "commit", "sid", F.col("number").cast("long").alias("number"))
+    return binlog.gtids(_customer_events(spark, d, binlog.GTID)).where("error is null").select("file", "commit", "sid", F.col("number").cast("long").alias("number"))
 
 
 @_query(f"SELECT {_LOG} AS file, md5(CAST(c_custkey AS VARCHAR)) AS sid, 1::BIGINT AS first, c_custkey + 1 AS last FROM customer")
