@@ -335,7 +335,7 @@ def log_gtids(spark, d):
 
 @_query(f"SELECT {_LOG} AS file, md5(CAST(c_custkey AS VARCHAR)) AS sid, 1::BIGINT AS first, c_custkey + 1 AS last FROM customer")
 def log_previous_gtids(spark, d):
-    return binlog.previous_gtids(_customer_events(spark, d)).where("error is null").select("file", "sid", "first", "last")
+    return binlog.previous_gtids(_customer_events(spark, d, binlog.PREVIOUS_GTIDS)).where("error is null").select("file", "sid", "first", "last")
 
 
 @_query(f"SELECT {_LOG} AS file, c_custkey * 3 AS xid FROM customer")

@@ -126,7 +126,7 @@ def test_digest_of_groups_that_lose_nothing(equals_sql):
     equals_sql("digest_subtract", orders=f"SELECT * FROM (VALUES {rows}) t(o_orderkey, o_orderpriority, o_orderstatus)")
 
 
-@pytest.mark.parametrize("name, types", [("log_query_status", {B.QUERY}), ("log_row_queries", {B.ROWS_QUERY}), ("log_queries", {B.QUERY}), ("log_event_types", {B.FORMAT, B.PREVIOUS_GTIDS, B.GTID, B.QUERY, B.ROWS_QUERY, B.XID, B.ROTATE, B.STOP}), ("log_transactions", {B.XID}), ("log_gtids", {B.GTID})])
+@pytest.mark.parametrize("name, types", [("log_query_status", {B.QUERY}), ("log_row_queries", {B.ROWS_QUERY}), ("log_queries", {B.QUERY}), ("log_event_types", {B.FORMAT, B.PREVIOUS_GTIDS, B.GTID, B.QUERY, B.ROWS_QUERY, B.XID, B.ROTATE, B.STOP}), ("log_transactions", {B.XID}), ("log_gtids", {B.GTID}), ("log_previous_gtids", {B.PREVIOUS_GTIDS})])
 def test_log_files_are_dealt_to_all_tasks(spark, monkeypatch, name, types):
     """Also where their rows have few bytes; framing gives the events that the query reads."""
     seen, real = [], B.events_of
