@@ -291,8 +291,8 @@ def _logs(rows: DataFrame, write: Callable[[LogWriter, tuple], None], name: Call
     return rows.repartition(tasks, rows.columns[0]).mapInArrow(run, _FILES)
 
 
-def _customer_events(spark, d, *types: int) -> DataFrame:
-    """The events of a log file of each customer, of the given types or all."""
+def _customer_events(spark, d, *types: int, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The events of a log file of each customer, of the given types or all, with the given columns or all."""
 
     def write(w: LogWriter, row: tuple) -> None:
         key, segment = row
@@ -305,7 +305,7 @@ def _customer_events(spark, d, *types: int) -> DataFrame:
         w.stop()
 
     rows = Parquet(spark, d)["customer"].select("c_custkey", "c_mktsegment")
-    return binlog.events_of(_logs(rows, write, lambda row: f"log.{row[0]:06d}"), types=types or None)
+    return binlog.events_of(_logs(rows, write, lambda row: f"log.{row[0]:06d}"), types=types or None, columns=columns)
 
 
 _LOG = "printf('log.%06d', c_custkey)"
@@ -314,7 +314,7 @@ _SID = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) ||
 
 @_query("SELECT unnest(['FORMAT_DESCRIPTION', 'PREVIOUS_GTIDS', 'GTID', 'QUERY', 'ROWS_QUERY', 'XID', 'ROTATE', 'STOP']) AS name, count(*) AS n FROM customer")
 def log_event_types(spark, d):
-    return _customer_events(spark, d).groupBy(binlog.event_name(F.col("type")).alias("name")).agg(F.count("*").alias("n"))
+    return _customer_events(spark, d, columns=("file", "type")).groupBy(binlog.event_name(F.col("type")).alias("name")).agg(F.count("*").alias("n"))
 
 
 @_query(f"SELECT {_LOG} AS file, 7::BIGINT AS thread_id, 'db' AS database, 'touch ' || CAST(c_custkey AS VARCHAR) AS statement FROM customer")

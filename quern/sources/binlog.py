@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Sequence
 from decimal import Decimal
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,17 +36,18 @@ EVENT_NAMES = (
 HEADER = struct.Struct("<IBIIIH")
 
 EVENT = "file string, position long, timestamp long, type int, server_id long, length long, next_position long, flags int, body binary, error string"
-_NAMES = [c.split()[0] for c in EVENT.split(", ")]
 #: What framing whole files adds: with row events the body of the table map in force.
 FRAMED = f"{EVENT}, map binary"
+_FRAMED_SQL = {c.split()[0]: c for c in FRAMED.split(", ")}
+_KINDS = dict(zip(_FRAMED_SQL, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary()], strict=True))
 #: Events, and bytes of their bodies and maps, of a batch.
 BATCH_ROWS, BATCH_BYTES = 5000, 1 << 22
 
 
-def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool = False, types: Collection[int] | None = None) -> Iterator[tuple]:
+def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool = False, types: Collection[int] | None = None, bodies: bool = True) -> Iterator[tuple]:
     """(position, header fields, body, error) of the whole events from `at` on; a partial last event is left out.
     checksum: bytes of checksum after bodies, None while no format event has told. types: event types to give, None
-    for all; other events are stepped over."""
+    for all; other events are stepped over. Without bodies only headers are read: bodies are empty and not verified."""
     while at + 19 <= len(data):
         ts, kind, server, size, following, flags = HEADER.unpack_from(data, at)
         if size < 19:
@@ -56,6 +58,11 @@ def frames(data: bytes, at: int = 4, checksum: int | None = None, verify: bool =
         if types is not None and kind not in types and kind != FORMAT:
             at += size
             continue
+        if not bodies:
+            if types is None or kind in types:
+                yield (at, ts, kind, server, size, following, flags, b"", None)
+            at += size
+            continue
         body, error = data[at + 19 : at + size], None
         if kind == FORMAT:
             checksum = _checksum_size(body)
@@ -78,20 +85,26 @@ def _version_of(text: bytes) -> tuple[int, ...]:
     return tuple(int("".join(c for c in p if c.isdigit()) or 0) for p in version.split(".")[:3])
 
 
-def read(spark: SparkSession, path: str, verify: bool = False, types: Collection[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, verify: bool = False, types: Collection[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The events of the log files under path, on any store that Spark reads; a file is the unit of work."""
-    return events_of(spark.read.format("binaryFile").load(path).select("path", "content"), verify, types)
+    return events_of(spark.read.format("binaryFile").load(path).select("path", "content"), verify, types, columns)
 
 
-def events_of(files: DataFrame, verify: bool = False, types: Collection[int] | None = None) -> DataFrame:
+def events_of(files: DataFrame, verify: bool = False, types: Collection[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The events of files given as rows (path, content), with map: the body of the table map in force at a row event.
     types: the event types wanted, None for all. Every file is walked through whole; rows that say where one cannot be
-    read on stay."""
-    return files.mapInArrow(lambda batches: framed(batches, verify, types), FRAMED)
+    read on stay. columns: those wanted, None for all; Spark cannot tell the tasks which ones a query goes on to use, and
+    without body and map only headers are read."""
+    return files.mapInArrow(lambda batches: framed(batches, verify, types, columns), ", ".join(_FRAMED_SQL[c] for c in columns or _FRAMED_SQL))
 
 
-def framed(batches: Iterator[pa.RecordBatch], verify: bool = False, types: Collection[int] | None = None) -> Iterator[pa.RecordBatch]:
+def framed(batches: Iterator[pa.RecordBatch], verify: bool = False, types: Collection[int] | None = None, columns: Sequence[str] | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of events, which run on from file to file, so that many small files cost no more than one large one."""
+    names = list(columns or _FRAMED_SQL)
+    places = [list(_FRAMED_SQL).index(c) for c in names]
+    # an itemgetter of one place gives no tuple
+    wanted = itemgetter(*places) if len(places) > 1 else lambda row: (row[places[0]],)
+    bodies = verify or "body" in names or "map" in names
     # row events need the maps before them
     walked = None if types is None else {*types, TABLE_MAP} if OPERATIONS.keys() & set(types) else set(types)
     held: list[tuple] = []
@@ -99,24 +112,24 @@ def framed(batches: Iterator[pa.RecordBatch], verify: bool = False, types: Colle
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, table = content.as_py(), None
-            rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify, types=walked)
+            rows = [(0, 0, 0, 0, 0, 0, 0, b"", "not a change log")] if data[:4] != MAGIC else frames(data, verify=verify, types=walked, bodies=bodies)
             for row in rows:
                 table = row[7] if row[2] == TABLE_MAP else table
                 if types is not None and row[2] not in types and row[8] is None:
                     continue
                 known = table if row[2] in OPERATIONS else None
-                held.append((name, *row, known))
+                whole = (name, *row, known)
+                held.append(wanted(whole) if columns else whole)
                 size += len(row[7]) + len(known or b"")
                 if len(held) == BATCH_ROWS or size >= BATCH_BYTES:
-                    yield _batch(held)
+                    yield _batch(held, names)
                     held, size = [], 0
     if held:
-        yield _batch(held)
+        yield _batch(held, names)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_NAMES, "map"])
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
 
 
 def little_endian(c: Column, at: int, size: int) -> Column:

@@ -151,3 +151,35 @@ def test_framing_by_type_is_a_filter(spark):
         wanted = [r for r in every if r.type in types or r.error]
         assert B.events_of(files, verify=True, types=types).collect() == wanted
     assert {bytes(r.map) for r in every if r.type == B.WRITE_V2} == {bytes(r.body) for r in every if r.type == B.TABLE_MAP}
+
+
+def test_framing_by_columns_is_a_projection(spark):
+    w = LogWriter(checksum=True)
+    w.table_map(1, "d", "t", [3], b"", [False])
+    w.rows(B.WRITE_V2, 1, 1, [([False], bytes(4))])
+    w.format(False)
+    w.xid(2)
+    spoiled = w.data + B.HEADER.pack(0, B.XID, 1, 7, 0, 0)
+    spoiled[4 + 19 + 52] ^= 1  # when the first format event was made
+    files = spark.createDataFrame([("a", bytearray(w.data)), ("b", spoiled), ("c", bytearray(b"none")), ("d", bytearray(w.data[:-3]))], "path string, content binary")
+    for columns in [("file", "type"), ("type",), ("map", "position"), ("error", "file", "body"), ("length", "next_position", "error")]:
+        for types in [None, {B.XID}, {B.WRITE_V2}, {B.FORMAT, B.TABLE_MAP}]:
+            for verify in [False, True]:
+                every = B.events_of(files, verify, types)
+                got = B.events_of(files, verify, types, columns)
+                assert got.columns == list(columns) and got.dtypes == every.select(*columns).dtypes
+                assert got.collect() == every.select(*columns).collect()
+    assert {r.error for r in B.events_of(files, True).collect()} == {None, "checksum does not fit", "an event shorter than its header", "not a change log"}
+
+
+def test_event_types_are_counted_from_headers(spark, monkeypatch):
+    """Bodies stay where they are."""
+    seen, real = [], B.events_of
+    monkeypatch.setattr(B, "events_of", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    counts = {r.name: r.n for r in QUERIES["log_event_types"](spark, SMALL).collect()}
+    assert seen[0].columns == ["file", "type"]
+    assert len(counts) == 8 and set(counts.values()) == {spark.read.parquet(f"{SMALL}/customer.parquet").count()}
+    w = LogWriter(checksum=True)
+    w.query("db", "x" * 1000)
+    assert [e[:7] for e in B.frames(bytes(w.data), bodies=False)] == [e[:7] for e in B.frames(bytes(w.data))]
+    assert {e[7] for e in B.frames(bytes(w.data), bodies=False)} == {b""}
